@@ -69,13 +69,13 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def block_pairs(rows: DataFrame, key: str, id: str) -> DataFrame:
-    """rows with side (0 or 1), i and j: every two rows of a key meet in a group (key, i, j), in blocks of about BLOCK rows.
+def block_pairs(rows: DataFrame, key: str, id: str, size: int = BLOCK) -> DataFrame:
+    """rows with side (0 or 1), i and j: every two rows of a key meet in a group (key, i, j), in blocks of about size rows.
 
-    A key of up to BLOCK rows is one group. Blocks come from a hash of the id, and each row goes to as many groups as its
+    A key of up to size rows is one group. Blocks come from a hash of the id, and each row goes to as many groups as its
     key has blocks, so that one large key is dealt to many tasks.
     """
-    counts = rows.groupBy(key).count().filter("count > 1").select(key, F.ceil(F.col("count") / BLOCK).cast("int").alias("_blocks"))
+    counts = rows.groupBy(key).count().filter("count > 1").select(key, F.ceil(F.col("count") / size).cast("int").alias("_blocks"))
     dealt = rows.join(counts, key).withColumn("_own", F.pmod(F.xxhash64(id), "_blocks").cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.select(*rows.columns, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))

@@ -9,6 +9,7 @@ from ..session import ship
 from .bpe import op2_byte_bpe
 from .chat import OP10_SQL, op10_chat_formatting
 from .embeddings import op5_embedding_near_duplicates
+from .jaccard import op1_ngram_jaccard_join
 from .language import op4_language_id
 from .licenses import OP9_SQL, op9_license_scan
 from .media import op8_ogg_media
@@ -30,6 +31,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_shard_documents": op3_shard_documents,
     "op4_language_id": op4_language_id,
