@@ -1 +1 @@
-"""Jobs of the flow feature jobs."""
+"""Jobs of the flow feature library."""
