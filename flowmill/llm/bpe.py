@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -12,6 +13,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -22,7 +24,9 @@ from pyspark.sql import types as T
 from .common import slices, tasks
 
 #: Bytes of text in a block: what one task holds the positions of at once. A longer text is a block of its own.
-BLOCK = 48 << 20
+BLOCK = 16 << 20
+#: Rows whose ids are put together at once, by their number of words; bytes of a word that is encoded without a heap.
+PIECE, SHORT = 1 << 20, 64
 #: Word buckets for each shuffle partition.
 BUCKETS_PER_TASK = 4
 
@@ -34,12 +38,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word: the neighbours whose union has the lowest rank, the leftmost of equals, merge until none has one.
-
-    Neighbours are kept in a linked list and candidate merges in a heap, so that long words take n log n steps.
-    """
+    """The ids of one word: the neighbours whose union has the lowest rank, the leftmost of equals, merge until none has one."""
     if (whole := ranks.get(word)) is not None:
         return [whole]
+    if len(word) > SHORT:
+        return encode_long(word, ranks)
+    get, none, cuts = ranks.get, len(ranks), list(range(len(word) + 1))
+    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (low := min(pairs)) < none:
+        i = pairs.index(low)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(word[cuts[i] : cuts[i + 2]], none)
+        if i:
+            pairs[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[word[i:j]] for i, j in zip(cuts, cuts[1:])]
+
+
+def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same in n log n steps: neighbours are kept in a linked list, and candidate merges in a heap."""
     n = len(word)
     end = list(range(1, n + 1))  # of the part that begins here
     before = list(range(-1, n - 1))
@@ -61,12 +78,15 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def packed_sizes(codes: np.ndarray) -> np.ndarray:
+    return 1 + sum((codes >= 1 << s).astype(np.int8) for s in (7, 14, 21))
+
+
 def pack(codes: np.ndarray) -> bytes:
     """Numbers under 2**28 as 1 to 4 bytes each, 7 bits a byte, the last one's high bit clear."""
     codes = codes.astype(np.uint32)
-    more = [codes >= 1 << s for s in (7, 14, 21)]
     out = np.stack([codes & 127 | 128, codes >> 7 & 127 | 128, codes >> 14 & 127 | 128, codes >> 21 & 127], 1).astype(np.uint8)
-    size = 1 + sum(m.astype(np.int8) for m in more)
+    size = packed_sizes(codes)
     out[np.arange(len(codes)), size - 1] &= 127
     return out[np.arange(4) < size[:, None]].tobytes()
 
@@ -96,6 +116,33 @@ def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndar
     return values[np.cumsum(step)]
 
 
+def rows_of(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column whose rows are data's bytes up to each end."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one after the other, and where each row begins; one more entry ends the last. Null: no bytes."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
+
+
+def assembled(values: np.ndarray, starts: np.ndarray, which: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+    """Pieces of a binary column, with their first and last row: row i has the slices of values that which[at[i]:at[i + 1]] names."""
+    row = 0
+    while row < len(at) - 1:
+        to = min(max(int(np.searchsorted(at, at[row] + PIECE, "right")) - 1, row + 1), len(at) - 1)
+        part = which[at[row] : at[to]]
+        ends = np.concatenate([[0], np.cumsum(starts[part + 1] - starts[part])])[at[row + 1 : to + 1] - at[row]]
+        data = gather(values, starts, part)
+        yield row, to, rows_of(data.view(np.uint8), ends * data.itemsize)
+        row = to
+
+
 @cache
 def splitter(pattern: str):
     return regex.compile(pattern)
@@ -138,11 +185,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         for number, part in blocks(batches, text):
             codes: defaultdict[str, int] = defaultdict()
             codes.default_factory = codes.__len__
-            packed = []
+            flat, counts = array("i"), []
             for t in part.column(text):
-                w = find(t.as_py() or "")
-                packed.append(squeeze(pack(np.fromiter(map(codes.__getitem__, w), np.int64, len(w)))))
-            out = part.drop_columns([text]).append_column("_positions", pa.array(packed, pa.binary()))
+                words = find(t.as_py() or "")
+                flat.extend(map(codes.__getitem__, words))
+                counts.append(len(words))
+            numbers = np.frombuffer(flat, np.int32)
+            ends = np.concatenate([[0], np.cumsum(packed_sizes(numbers), dtype=np.int64)])[np.cumsum(counts)]
+            out = part.drop_columns([text]).append_column("_positions", rows_of(np.frombuffer(pack(numbers), np.uint8), ends))
             yield out.append_column("_block", pa.array(np.full(part.num_rows, number)))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +239,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         begins = lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int64)
         values = gather(whole(column("data")), begins(sizes), order).astype("<u4")
         begin = begins(sizes[order])
-        made = [gather(values, begin, unpack(expand(p))).tobytes() for p in left["_positions"].to_pylist()]
-        return left.drop_columns(["_positions", "_block"]).append_column(ids, pa.array(made, pa.binary()))
+        data, at = bytes_of(left["_positions"])
+        at = np.concatenate([[0], np.cumsum(data < 128)])[at]
+        kept = left.drop_columns(["_positions", "_block"])
+        pieces = [made for _, _, made in assembled(values, begin, unpack(data.tobytes()), at)]
+        return kept.append_column(ids, pa.chunked_array(pieces, pa.binary()))
 
     placed = kept.mapInArrow(positions, T.StructType([*rest, T.StructField("_positions", T.BinaryType()), T.StructField("_block", T.LongType())]))
     words = kept.mapInArrow(distinct, "bucket long, _block long, codes binary, sizes binary, data binary")
@@ -204,7 +257,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", to: st
 
     The token table is joined in each task, since it is of the vocabulary's size. An id that isn't in it raises.
     """
-    kept = encoded.drop(to)
+    kept, to_name = encoded.drop(to), to
     size = max(ranks.values(), default=-1) + 1
     tokens = [b""] * size
     for token, rank in ranks.items():
@@ -213,20 +266,17 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", to: st
     known[list(ranks.values())] = True
     table = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64), known))
 
-    def one(blob: bytes | None) -> bytes | None:
-        if blob is None:
-            return None
-        data, starts, known = table.value
-        which = np.frombuffer(blob, "<u4").astype(np.int64)
-        if len(which) and (which.max() >= len(known) or not known[which].all()):
-            raise ValueError("an id is not in the vocabulary")
-        return gather(data, starts, which).tobytes()
-
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, starts, known = table.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield part.append_column(to, pa.array([one(b) for b in part.column(ids).to_pylist()], pa.binary()))
+            blob, at = bytes_of(batch.column(ids))
+            which = blob.view("<u4")
+            if len(which) and (which.max() >= len(known) or not known[which].all()):
+                raise ValueError("an id is not in the vocabulary")
+            for row, to, made in assembled(data, starts, which, at // 4):
+                part = batch.slice(row, to - row)
+                null = part.column(ids).is_null()
+                yield part.append_column(to_name, pc.if_else(null, pa.scalar(None, pa.binary()), made))
 
     return kept.mapInArrow(decoded, T.StructType([*kept.schema.fields, T.StructField(to, T.BinaryType())]))
 
