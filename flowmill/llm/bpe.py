@@ -173,9 +173,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     word of the corpus once, and the ids go back to the blocks that hold the word. There they meet the positions, which
     went straight to the block's task as one number per word, and give the ids in order. A frequent word is at most once
     in a block, so no key is hot. Null texts are empty and get no ids; repeated rows, null keys and other columns are kept
-    as they are, and a column named as ids is replaced. Both branches split the texts, which costs less than storing.
+    as they are, but for one named as ids, _block or _positions. Both branches split the texts, which costs less than storing.
     """
-    kept = docs.drop(ids)
+    kept = docs.drop(ids, "_block", "_positions")
     rest = [f for f in kept.schema.fields if f.name != text]
     table = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: its size doesn't follow the corpus
     buckets = BUCKETS_PER_TASK * tasks(docs.sparkSession)

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
+def joining_links(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between a's and b's numbers (rows and columns of linked), as many as join what they join: two arrays of ends."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at, to = place[: len(a)], place[len(a) :]
+    low = np.arange(len(names))  # the least number that each is known to reach
+    while len(a) and len(b):
+        before = low.copy()
+        np.minimum.at(low, at, np.where(linked, low[to], len(names)).min(1))
+        np.minimum.at(low, to, np.where(linked.T, low[at], len(names)).min(1))
+        if (low == before).all():
+            break
+    tied = np.flatnonzero(low != np.arange(len(names)))
+    return names[low[tied]], names[tied]
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: for each node with a link to another, the smallest node that it reaches.
 

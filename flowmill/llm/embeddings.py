@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import runs, stored
-from .components import connected_components
+from .components import connected_components, joining_links
 
 #: Vectors that are compared with as many others at once; a larger bucket or component is dealt out as pairs of blocks.
 BLOCK = 512
@@ -116,17 +116,9 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
             rest = np.arange(len(x))
             a, b = (rest, rest) if alone else (rest[side == 0], rest[side == 1])
             linked = x[a] @ x[b].T >= least
-            root = np.arange(len(x))  # one link for each two sets that meet
-            for p, q in np.argwhere(linked):
-                u, v = int(a[p]), int(b[q])
-                while root[u] != u:
-                    root[u] = u = root[root[u]]
-                while root[v] != v:
-                    root[v] = v = root[root[v]]
-                root[max(u, v)] = min(u, v)
-            tied = np.flatnonzero(root != rest)
-            if len(tied):
-                yield pa.RecordBatch.from_pydict({"a": ids[root[tied]], "b": ids[tied]})
+            ends = joining_links(linked, ids[a], ids[b])
+            if len(ends[0]):
+                yield pa.RecordBatch.from_pydict({"a": ends[0], "b": ends[1]})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["root", "i", "j"]):

@@ -94,7 +94,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
     without a label); and matches (label, start, share). They replace columns of these names. A null text is empty, and
     so has no words; repeated rows are scanned one by one. There is no shuffle of files: rows stay where they are read.
     """
-    kept = docs.drop(*OWN, "_words")
+    kept = docs.drop(*OWN, "_words", "_base")
     low = F.lower(F.col(text))
     maybe = F.coalesce(reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in ANCHORS)), F.lit(False))
     files = docs.select(F.col(text)).filter(maybe).select(words_of(F.col(text)).alias("_words"))

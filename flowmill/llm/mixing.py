@@ -58,7 +58,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     at a number that the digest of seed and key gives; so one source of any size needs no counting or sampling across
     tasks. Rows with equal keys get equal numbers; a null key stands for the digest of the text. A null source is a
     source of its own, a null text counts as empty (every document counts one byte more than its text). Adds n_bytes,
-    rate, copies, copy (from 0) and shuffle_key, in place of columns of the input with these names; documents that get no
+    rate, copies, copy (from 0) and shuffle_key, in place of columns of the input with these names (and without _source, _draws and _steps); documents that get no
     copy are absent, by design. An empty table gives an empty one. Partitions hold keys dealt by hash, each in the order
     of shuffle_key.
     """
@@ -67,7 +67,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     parts = F.greatest(F.ceil(F.col("rate") / LARGEST_RATE), F.lit(1)).cast("int")
     rates = rates.withColumn("_draws", parts).withColumn("_steps", poisson_steps(F.col("rate") / F.col("_draws")))
     few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    kept = docs.drop(*OWN)
+    kept = docs.drop(*OWN, "_source", "_draws", "_steps")
     identity = F.coalesce(F.col(key).cast("string"), F.md5(F.col(text)), F.lit(""))
     joined = kept.join(F.broadcast(rates) if few else rates, F.col(source).eqNullSafe(F.col("_source")), "inner")
     draw = lambda j: F.size(F.filter("_steps", lambda c: c <= uniform(F.lit(str(seed)), identity, j.cast("string"))))
