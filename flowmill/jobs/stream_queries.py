@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, until_exit
 from ..streaming.flows import DELAYS, drained, flow_concurrency, http_sessions, read_table_stream, watermarked, window_concurrency
 from .queries import PANE, r, registered, rounded
 from .views import CONN, K, with_views
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the place that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the place that driver and executors share, until the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    until_exit(spark, path)
+    return path
 
 
 def conn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""What a session needs before jobs with Python functions run on executors."""
+"""What jobs need of a session: a folder that driver and executors share, and this package on the executors."""
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,15 +13,43 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; a temporary one only where it names none (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def place_of(spark: SparkSession, path: str):
+    """The file system of path, and its handle there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """What is at path, an empty folder if there is nothing, goes when the application ends."""
+    store, place = place_of(spark, path)
+    if not store.exists(place):
+        store.mkdirs(place)
+    store.deleteOnExit(place)
+
+
 def ship(spark: SparkSession) -> None:
-    """Serve this package to the executors, once per application, as --py-files does."""
+    """Give this package to the executors, once per application, as --py-files does."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    root = Path(__file__).parent
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "flowmill.zip")  # read by the driver alone, which serves it
-    with zipfile.ZipFile(path, "w") as z:
+    root, data = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(path)
+    folder = f"{shared_dir(spark)}/package-{uuid.uuid4().hex}"
+    until_exit(spark, folder)
+    store, place = place_of(spark, f"{folder}/flowmill.zip")
+    out = store.create(place)
+    out.write(data.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(store.makeQualified(place).toString())
     _shipped.add(app)
