@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import runs, shared_dir
+from ..session import shared_dir, until_exit
+from .common import runs
 
 #: More buckets than this are joined with their offsets by a shuffle.
 MOST_BROADCAST = 100_000
@@ -72,7 +73,9 @@ def write_shards(sharded: DataFrame, path: str) -> DataFrame:
 
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    written = write_shards(shard_rows(docs), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    written = write_shards(shard_rows(docs), path)
+    until_exit(spark, path)
     return written.select(
         "doc_id", "size",
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
