@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import base64
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from zlib import crc32
@@ -14,17 +11,19 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, tasks
+from .common import lean, slices, tasks
+from .words import split_words
 
 #: Bytes of text in a block: what one task holds the positions of at once. A longer text is a block of its own.
 BLOCK = 16 << 20
+#: Bytes of text that are split into words at once.
+STEP = 1 << 20
 #: Rows whose ids are put together at once, by their number of words; bytes of a word that is encoded without a heap.
 PIECE, SHORT = 1 << 20, 64
 #: Word buckets for each shuffle partition.
@@ -143,11 +142,6 @@ def assembled(values: np.ndarray, starts: np.ndarray, which: np.ndarray, at: np.
         row = to
 
 
-@cache
-def splitter(pattern: str):
-    return regex.compile(pattern)
-
-
 def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Blocks of rows, each with a number: that of the partition and the block in it, so that a task that runs again gives the same."""
     number = TaskContext.get().partitionId() << 32
@@ -180,27 +174,28 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     table = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: its size doesn't follow the corpus
     buckets = BUCKETS_PER_TASK * tasks(docs.sparkSession)
 
+    def words_in(part: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        for some in slices(part, text, STEP):
+            yield split_words([t or "" for t in some.column(text).to_pylist()], pattern)
+
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern).findall
         for number, part in blocks(batches, text):
-            codes: defaultdict[str, int] = defaultdict()
-            codes.default_factory = codes.__len__
-            flat, counts = array("i"), []
-            for t in part.column(text):
-                words = find(t.as_py() or "")
-                flat.extend(map(codes.__getitem__, words))
-                counts.append(len(words))
-            numbers = np.frombuffer(flat, np.int32)
+            codes: dict[str, int] = {}
+            found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for words, which, n in words_in(part):
+                known = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
+                found.append(known[which].astype(np.int32))
+                counts.append(n)
+            numbers, counts = np.concatenate(found).astype(np.int32), np.concatenate(counts)
             ends = np.concatenate([[0], np.cumsum(packed_sizes(numbers), dtype=np.int64)])[np.cumsum(counts)]
             out = part.drop_columns([text]).append_column("_positions", rows_of(np.frombuffer(pack(numbers), np.uint8), ends))
             yield out.append_column("_block", pa.array(np.full(part.num_rows, number)))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern).findall
         for number, part in blocks(batches, text):
             codes: dict[str, None] = {}
-            for t in part.column(text):
-                codes.update(dict.fromkeys(find(t.as_py() or "")))
+            for words, _, _ in words_in(part):
+                codes.update(dict.fromkeys(words))
             words = [w.encode() for w in codes]
             bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
@@ -245,9 +240,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         pieces = [made for _, _, made in assembled(values, begin, unpack(data.tobytes()), at)]
         return kept.append_column(ids, pa.chunked_array(pieces, pa.binary()))
 
-    placed = kept.mapInArrow(positions, T.StructType([*rest, T.StructField("_positions", T.BinaryType()), T.StructField("_block", T.LongType())]))
-    words = kept.mapInArrow(distinct, "bucket long, _block long, codes binary, sizes binary, data binary")
-    by_word = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "_block long, codes binary, sizes binary, data binary")
+    placed = kept.mapInArrow(lean(positions), T.StructType([*rest, T.StructField("_positions", T.BinaryType()), T.StructField("_block", T.LongType())]))
+    words = kept.mapInArrow(lean(distinct), "bucket long, _block long, codes binary, sizes binary, data binary")
+    by_word = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(encoded), "_block long, codes binary, sizes binary, data binary")
     schema = T.StructType([*rest, T.StructField(ids, T.BinaryType())])
     return placed.groupBy("_block").cogroup(by_word.groupBy("_block")).applyInArrow(together, schema)
 
@@ -278,7 +273,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", to: st
                 null = part.column(ids).is_null()
                 yield part.append_column(to_name, pc.if_else(null, pa.scalar(None, pa.binary()), made))
 
-    return kept.mapInArrow(decoded, T.StructType([*kept.schema.fields, T.StructField(to, T.BinaryType())]))
+    return kept.mapInArrow(lean(decoded), T.StructType([*kept.schema.fields, T.StructField(to, T.BinaryType())]))
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:

@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowmill.llm import bpe, chat, jaccard, language, licenses, media, mixing, quality, sharding
+from flowmill.llm import bpe, chat, jaccard, language, licenses, media, mixing, quality, sharding, words
 
 DOC = "doc_id long, text string, lang string, source string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -335,3 +337,12 @@ def test_text_blocks_of_a_batch():
     assert sum(parts, []) == batch.column("t").to_pylist() and ["b" * 100] in parts
     halves = [pa.RecordBatch.from_pydict({"k": k}) for k in ([1, 1, 2], [2, 2], [], [3])]
     assert [r["k"].to_pylist() for r in runs(iter(halves), ["k"])] == [[1, 1], [2, 2, 2], [3]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("ab  S\n\t\r'''sllrevemtdéßñ日1½$%!\x1c\x85\xa0 😀́\x00")), max_size=40), max_size=5))
+def test_words_at_once_match_the_pattern(texts):
+    expected = words.by_expression(texts, words.USUAL)
+    found = words.split_words(texts)
+    assert found[0] == expected[0] and found[1].tolist() == expected[1].tolist() and found[2].tolist() == expected[2].tolist()
+    assert bpe.vocabulary()[1] == words.USUAL
