@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, stored
+from .common import lean, runs, stored
 from .components import connected_components, joining_links
 
 #: Vectors that are compared with as many others at once; a larger bucket or component is dealt out as pairs of blocks.
@@ -133,14 +133,14 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
                 linked = x[a] @ x[b].T >= least
                 yield pa.RecordBatch.from_pydict({"class": np.concatenate([ids[a], ids[b]]), "n": np.concatenate([linked @ copies[b], linked.T @ copies[a]])})
 
-    entries = classes.select("class", "vector").mapInArrow(hashed, "class long, vector array<float>, bucket long" if "float" in dict(classes.dtypes)["vector"] else "class long, vector array<double>, bucket long")
+    entries = classes.select("class", "vector").mapInArrow(lean(hashed), "class long, vector array<float>, bucket long" if "float" in dict(classes.dtypes)["vector"] else "class long, vector array<double>, bucket long")
     groups = block_pairs(entries, "bucket", "class")
     ordered = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    roots = connected_components(ordered.mapInArrow(joined, "a long, b long"))
+    roots = connected_components(ordered.mapInArrow(lean(joined), "a long, b long"))
     roots = roots.select(F.col("node").alias("class"), "root")
     members = block_pairs(classes.join(roots, "class").select("class", "vector", "copies", "root"), "root", "class")
     ordered = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = ordered.mapInArrow(counted, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    links = ordered.mapInArrow(lean(counted), "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
     smallest = classes.join(roots, "class").groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(links, "class", "left").join(roots, "class", "left").join(smallest, "root", "left").select("vector", "rep", "copies", "n", "component_id")
     found = rows.withColumn("_key", F.when(usable, F.col("vector"))).join(of_class.withColumnRenamed("vector", "_key"), "_key", "left")

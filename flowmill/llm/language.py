@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of_id, mix64, slices
+from .common import crc32_of_id, lean, mix64, slices
 
 #: Hashed n-grams; texts whose vectors a task holds at once; bytes of text that it takes apart at once.
-BUCKETS, TEXTS, BLOCK = 4096, 1000, 4 << 20
+BUCKETS, TEXTS, BLOCK = 4096, 250, 1 << 20
 UNDETERMINED = "und"
 OWN = ("lang_pred", "score", "rejected", "has_letter")
 
@@ -107,7 +107,7 @@ def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", p
             n += part.num_rows
         yield pa.RecordBatch.from_pydict({"bucket": np.arange(-1, BUCKETS), "n": np.concatenate([[n], total])})
 
-    found = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()  # BUCKETS + 1 rows
+    found = rows.select("text").mapInArrow(lean(frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()  # BUCKETS + 1 rows
     df = np.zeros(BUCKETS + 1)
     for bucket, n in found:
         df[bucket + 1] = n
@@ -159,7 +159,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
             yield part
 
     fields = [T.StructField(n, t) for n, t in zip(OWN, (T.StringType(), T.DoubleType(), T.BooleanType(), T.BooleanType()))]
-    return kept.mapInArrow(predict, T.StructType([*kept.schema.fields, *fields]))
+    return kept.mapInArrow(lean(predict), T.StructType([*kept.schema.fields, *fields]))
 
 
 #: Rows with this remainder of crc32(doc_id) by 4 are held out of learning.

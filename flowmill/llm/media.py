@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import lean, slices
 
 RATE, CHANNELS, PACKET, SEGMENTS = 8000, 2, 6000, 64
 MAGIC = b"PCM8"
@@ -161,7 +161,7 @@ def add_media(docs: DataFrame, text: str = "text", media: str = "media") -> Data
                 made = [write_ogg(pad((t or "").encode())) for t in part.column(text).to_pylist()]
                 yield part.append_column(media, pa.array(made, pa.binary()))
 
-    return kept.mapInArrow(encode, T.StructType([*kept.schema.fields, T.StructField(media, T.BinaryType())]))
+    return kept.mapInArrow(lean(encode), T.StructType([*kept.schema.fields, T.StructField(media, T.BinaryType())]))
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
@@ -187,7 +187,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
                 yield part
 
     fields = [T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField("media_error", T.StringType())]
-    return kept.mapInArrow(decode, T.StructType([*kept.schema.fields, *fields]))
+    return kept.mapInArrow(lean(decode), T.StructType([*kept.schema.fields, *fields]))
 
 
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of_id, slices, stored, utf8_block
+from .common import crc32_of_id, lean, slices, stored, utf8_block
 
 #: Bytes of text that a task measures at once.
-BLOCK = 8 << 20
+BLOCK = 1 << 20
 NAMES = ("bytes", "upper", "digits", "symbols", "stops", "bars", "word_bytes", "line_bytes", "other_scripts", "distinct_words", "repeated_lines", "marked_words")
 OWN = ("score", "predicted")
 
@@ -74,7 +74,7 @@ def add_statistics(docs: DataFrame, text: str = "text", to: str = "statistics",
                 rest = part if keep_text else part.drop_columns([text])
                 yield rest.append_column(to, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel())))
 
-    return kept.mapInArrow(measure, schema)
+    return kept.mapInArrow(lean(measure), schema)
 
 
 @dataclass
@@ -113,7 +113,7 @@ def fit_quality(measured: DataFrame, label: str = "quality", of: str = "statisti
 
     rows = measured.select(F.col(of).alias("x"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
     total = np.zeros(2 * (1 + d + d * d))
-    for at, value in rows.mapInArrow(moments, "at long, value double").groupBy("at").agg(F.sum("value")).collect():
+    for at, value in rows.mapInArrow(lean(moments), "at long, value double").groupBy("at").agg(F.sum("value")).collect():
         total[at] = value
     total = total.reshape(2, -1)
     n = total[:, 0]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir, until_exit
-from .common import runs
+from .common import lean, runs
 
 #: More buckets than this are joined with their offsets by a shuffle.
 MOST_BROADCAST = 100_000
@@ -58,7 +58,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes: i
                 yield from part.combine_chunks().to_batches()
 
     schema = T.StructType([*scattered.schema.fields, T.StructField("_place", T.LongType())])
-    shuffled = scattered.repartition("_bucket").sortWithinPartitions("_bucket", "_hash", key).mapInArrow(shuffle, schema)
+    shuffled = scattered.repartition("_bucket").sortWithinPartitions("_bucket", "_hash", key).mapInArrow(lean(shuffle), schema)
     placed = shuffled.join(F.broadcast(offsets) if buckets <= MOST_BROADCAST else offsets, "_bucket")
     whole = F.col("_offset") + F.col("_place")
     return placed.select(*kept.columns, size.alias("size"), (whole % shards).cast("int").alias("shard"), F.floor(whole / shards).cast("long").alias("slot"))
