@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: A batch between the JVM and Python; both sides hold some.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,9 @@ def until_exit(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once per application, as --py-files does."""
+    """Give this package to the executors, once per application, as --py-files does; and keep the session's Arrow batches small."""
+    if spark.conf.get(BATCH[0]) == "67108864b":  # as it comes; a session's own choice stays
+        spark.conf.set(BATCH[0], str(BATCH[1]))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
