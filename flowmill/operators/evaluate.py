@@ -21,11 +21,13 @@ def softmax_scores(table: DataFrame, coefficients: dict[str, dict[str, float]],
     """table scored by linear terms of features per label; the feature 1 is a constant. Labels stand in alphabetical order."""
     labels = sorted(coefficients)
     linear = [sum((F.lit(w) * (F.lit(1.0) if f == "1" else F.col(f)) for f, w in coefficients[x].items()), F.lit(0.0)) for x in labels]
-    scored = table.withColumn("_linear", F.array(*linear))
-    scored = scored.withColumn("_linear", F.transform("_linear", lambda v: F.exp(v - F.array_max("_linear"))))
-    total = F.aggregate("_linear", F.lit(0.0), lambda s, v: s + v)
-    scored = scored.withColumn("_linear", F.transform("_linear", lambda v: v / total))
-    return from_probabilities(scored, F.col("_linear"), labels, threshold).drop("_linear")
+    names = [f"_linear_{k}" for k in range(len(labels))]
+    scored = table.select("*", *(e.alias(n) for n, e in zip(names, linear)))
+    scored = scored.withColumn("_best", F.array_max(F.array(*names)))
+    likeliest = F.coalesce(*(F.when(F.col(n) == F.col("_best"), F.lit(x)) for n, x in zip(names, labels)))
+    total = sum((F.exp(F.col(n) - F.col("_best")) for n in names), F.lit(0.0))
+    scored = scored.select(*table.columns, likeliest.alias("prediction"), (1 / total).alias("confidence"))
+    return scored.withColumn("is_confident", F.col("confidence") >= threshold)
 
 
 def status(table: DataFrame) -> DataFrame:
@@ -48,8 +50,12 @@ def confusion(scored: DataFrame, labels: Sequence[str], label: str = "class") ->
 
 
 def classification_report(scored: DataFrame, labels: Sequence[str], label: str = "class") -> DataFrame:
-    """entry, precision, recall, f1 and support: a row per label, and accuracy, macro avg and weighted avg. Divisions by 0 give 0."""
-    cells = confusion(scored, labels, label)
+    """entry, precision, recall, f1 and support: a row per label, and accuracy, macro avg and weighted avg. Divisions by 0 give 0.
+
+    The rows are counted once: the confusion matrix, a cell for every two labels, is what the report's parts are made of.
+    """
+    counted = confusion(scored, labels, label)
+    cells = scored.sparkSession.createDataFrame(counted.collect(), counted.schema).coalesce(1)
     hit = F.sum(F.when(F.col(label) == F.col("prediction"), F.col("n")).otherwise(0))
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     true = cells.groupBy(F.col(label).alias("entry")).agg(hit.alias("hit"), F.sum("n").alias("support"))
