@@ -21,7 +21,7 @@ from .common import lean, slices, tasks
 from .words import split_words
 
 #: Bytes of text in a block: what one task holds the positions of at once. A longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 10 << 20
 #: Bytes of text that are split into words at once.
 STEP = 1 << 20
 #: Rows whose ids are put together at once, by their number of words; bytes of a word that is encoded without a heap.
@@ -107,12 +107,12 @@ def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndar
     total = int(size.sum())
     if not total:
         return values[:0]
-    step = np.ones(total, np.int64)
+    step = np.ones(total, np.int32 if len(values) < 2**31 else np.int64)
     full = size > 0
     begin, size = begin[full], size[full]
     step[0] = begin[0]
     step[np.cumsum(size)[:-1]] = begin[1:] - (begin[:-1] + size[:-1] - 1)
-    return values[np.cumsum(step)]
+    return values[np.cumsum(step, dtype=step.dtype)]
 
 
 def rows_of(data: np.ndarray, ends: np.ndarray) -> pa.Array:
