@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reduce import certificate_rows
 from ..session import shared_dir, until_exit
-from ..streaming.flows import DELAYS, drained, flow_concurrency, http_sessions, read_table_stream, watermarked, window_concurrency
+from ..streaming.flows import DELAYS, drained, flow_concurrency, http_sessions, read_table_stream, stream_flow_features, watermarked, window_concurrency
 from .queries import PANE, r, registered, rounded
-from .views import CONN, K, with_views
+from .views import CONN, DNS, HTTP, K, SSL, view, with_views
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -63,3 +64,24 @@ def stream_http_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = drained(http_sessions(watermarked(http, "http")), shared_path(spark, "http"))
     return rounded(out.select("uid", F.unix_seconds("session.start").alias("session_start"), "http_request_count", "http_total_req_body_len", "http_unique_hosts"))
+
+
+def log_stream(spark: SparkSession, sf_dir: str, log: str) -> DataFrame:
+    """A log's view as a stream whose rows come at the time of their flow."""
+    table, key, columns, rows = {
+        "http": ("lineitem", "l_orderkey", HTTP, "l_linestatus = 'O'"), "dns": ("lineitem", "l_orderkey", DNS, "l_linestatus = 'F'"), "ssl": ("orders", "o_orderkey", SSL, "o_orderstatus <> 'P'")
+    }[log]
+    stream = read_table_stream(spark, sf_dir, table).filter(rows)
+    if log == "ssl":
+        stream = stream.withColumn("copy", F.explode(F.expr("CASE WHEN o_orderkey % 20 = 0 THEN array(0, 1) ELSE array(0) END")))
+    times = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("event_time"))
+    joined = stream.join(times, F.col(key) == F.col("event_id"))
+    return watermarked(joined.selectExpr(*(f"{e} AS {n}" for n, e in columns.items()), "event_time"), log)
+
+
+@registered()
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the flows whose session and window have closed; source statistics are those of the flow's latest window."""
+    certificates = certificate_rows(view(spark, sf_dir, "x509"))
+    logs = [conn_stream(spark, sf_dir), *(log_stream(spark, sf_dir, log) for log in ("ssl", "http", "dns"))]
+    return rounded(drained(stream_flow_features(*logs, certificates), shared_path(spark, "features")), 5)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +30,17 @@ def is_array(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.ArrayType)
 
 
+def first_certificate(ssl: DataFrame) -> Column:
+    """The fingerprint of a handshake's own certificate; null if the log has no chain."""
+    if "first_cert_fp" in ssl.columns:
+        return F.col("first_cert_fp").cast("string")
+    return first_of(F.col("cert_chain_fps"), is_array(ssl, "cert_chain_fps")) if "cert_chain_fps" in ssl.columns else F.lit(None).cast("string")
+
+
 def ssl_rows(ssl: DataFrame, keys: Sequence[str] = FLOW, order: str = "ts") -> DataFrame:
     """The first handshake of each flow: keys, first_cert_fp, and what the features need, prefixed; absent columns are null."""
     fields = [(F.col(c) if c in ssl.columns else F.lit(None).cast("string")).alias(f"ssl_{c}") for c in SSL_FIELDS]
-    chain = F.col("first_cert_fp").cast("string") if "first_cert_fp" in ssl.columns else first_of(F.col("cert_chain_fps"), is_array(ssl, "cert_chain_fps")) if "cert_chain_fps" in ssl.columns else F.lit(None).cast("string")
-    rows = keyed(ssl, keys).select(*keys, F.col(order).alias("_order"), chain.alias("first_cert_fp"), *fields)
+    rows = keyed(ssl, keys).select(*keys, F.col(order).alias("_order"), first_certificate(ssl).alias("first_cert_fp"), *fields)
     return first_rows(rows, keys, ["_order"]).drop("_order")
 
 
@@ -56,10 +62,17 @@ def certificate_rows(x509: DataFrame, order: str = "ts") -> DataFrame:
     return first_rows(rows, ["fingerprint"], ["_order"]).drop("_order")
 
 
-def http_aggregates() -> list[Column]:
-    c = F.col
+def of_log(log: str | None) -> tuple[Callable[[str], Column], Callable[[Column], Column]]:
+    """How aggregates read a log: its columns, or the fields of a struct of that name, rows whose struct is null not being counted."""
+    if log is None:
+        return F.col, lambda x: x
+    return lambda name: F.col(f"{log}.{name}"), lambda x: F.when(F.col(log).isNotNull(), x)
+
+
+def http_aggregates(log: str | None = None) -> list[Column]:
+    c, own = of_log(log)
     request, response, status = number(c("request_body_len")), number(c("response_body_len")), number(c("status_code"))
-    share = lambda low, high: F.avg(F.when((status >= low) & (status < high if high else F.lit(True)), 1.0).otherwise(0.0))
+    share = lambda low, high: F.avg(own(F.when((status >= low) & (status < high if high else F.lit(True)), 1.0).otherwise(0.0)))
     return [
         F.count(request).alias("http_request_count"),
         F.avg(request).alias("http_avg_req_body_len"),
@@ -67,8 +80,8 @@ def http_aggregates() -> list[Column]:
         F.avg(response).alias("http_avg_resp_body_len"),
         F.coalesce(F.sum(response), F.lit(0.0)).alias("http_total_resp_body_len"),
         *(share(low, high).alias(f"http_status_{low // 100}xx_ratio") for low, high in ((200, 300), (300, 400), (400, 500), (500, None))),
-        F.avg(F.coalesce(F.length("user_agent"), F.lit(0))).alias("http_avg_ua_len"),
-        *(F.sum(flag(c("method") == m)).alias(f"http_method_{m}") for m in METHODS),
+        F.avg(own(F.coalesce(F.length(c("user_agent")), F.lit(0)))).alias("http_avg_ua_len"),
+        *(F.sum(own(flag(c("method") == m))).alias(f"http_method_{m}") for m in METHODS),
     ]
 
 
@@ -77,18 +90,18 @@ def http_rows(http: DataFrame, keys: Sequence[str] = FLOW) -> DataFrame:
     return keyed(http, keys).groupBy(*keys).agg(*http_aggregates(), F.countDistinct("host").alias("http_unique_hosts"))
 
 
-def dns_aggregates(answers: Column, ttl: Column) -> list[Column]:
-    c = F.col
+def dns_aggregates(answers: Column, ttl: Column, log: str | None = None) -> list[Column]:
+    c, own = of_log(log)
     rtt = number(c("rtt"))
     return [
         F.count(rtt).alias("dns_query_count"),
         F.avg(rtt).alias("dns_rtt_mean"),
         F.stddev_samp(rtt).alias("dns_rtt_std"),
-        F.avg(F.when(c("rcode_name") == "NXDOMAIN", 1.0).otherwise(0.0)).alias("dns_nxdomain_ratio"),
-        F.max(flag(c("rejected").isin("T", "true"))).alias("dns_rejected"),
-        F.avg(F.when(answers, 1.0).otherwise(0.0)).alias("dns_has_answer"),
+        F.avg(own(F.when(c("rcode_name") == "NXDOMAIN", 1.0).otherwise(0.0))).alias("dns_nxdomain_ratio"),
+        F.max(own(flag(c("rejected").isin("T", "true")))).alias("dns_rejected"),
+        F.avg(own(F.when(answers, 1.0).otherwise(0.0))).alias("dns_has_answer"),
         F.avg(number(ttl)).alias("dns_avg_ttl"),
-        *(F.sum(flag(c("qtype_name") == q)).alias(f"dns_qtype_{q}") for q in QTYPES),
+        *(F.sum(own(flag(c("qtype_name") == q))).alias(f"dns_qtype_{q}") for q in QTYPES),
     ]
 
 

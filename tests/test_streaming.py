@@ -1,8 +1,15 @@
 import json
 import os
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from flowmill.jobs import stream_queries  # noqa: F401
+from flowmill.jobs.queries import QUERIES, rounded
+from flowmill.jobs.views import conn, view
+from flowmill.operators.concurrency import flow_windows
+from flowmill.operators.enrich import enrich
+from flowmill.operators.features import features
 from flowmill.sources.logs import read_file_log
 from flowmill.streaming import flows
 
@@ -67,3 +74,29 @@ def test_scored_detections_reach_the_sink(spark, tmp_path):
     flows.write_detections(scored, "json", str(tmp_path / "state"), {"path": str(tmp_path / "sink")}, {"availableNow": True}).awaitTermination()
     rows = spark.read.json(str(tmp_path / "sink")).collect()
     assert {r["key"]: json.loads(r["value"])["label"] for r in rows} == {"u": "vpn", "v": "vpn"}
+
+
+def test_two_flows_of_a_session_stay_two(spark, tmp_path):
+    end = row("end", 600)
+    write(tmp_path / "conn", [row("u", 0, service="http"), row("u", 2, service="dns"), end])
+    write(tmp_path / "ssl", [row("u", 1, version="TLSv13", cert_chain_fps=["f", "g"]), end])
+    write(tmp_path / "http", [row("u", 1, request_body_len=3, method="GET", host="h", status_code=200), end])
+    write(tmp_path / "dns", [row("u", 1, rtt=0.5, query="q", qtype_name="A", answers=["x"], TTLs=[4.0]), end])
+    logs = [read_file_log(spark, str(tmp_path / n), n, "5 minutes") for n in ("conn", "ssl", "http", "dns")]
+    out = flows.drained(flows.enriched_sessions(*logs), str(tmp_path / "out")).collect()
+    assert sorted(r["service"] for r in out) == ["dns", "http"]
+    for r in out:
+        assert (r["first_cert_fp"], r["http_method_GET"], r["http_status_2xx_ratio"], r["http_unique_hosts"]) == ("f", 1, 1.0, 1)
+        assert (r["dns_qtype_A"], r["dns_has_answer"], r["dns_avg_ttl"], r["dns_unique_queries"]) == (1, 1.0, 4.0, 1)
+
+
+def test_streamed_features_match_the_batch(spark, sf_dir):
+    got = {r["uid"]: r.asDict() for r in QUERIES["stream_features"](spark, sf_dir).collect()}
+    logs = {v: view(spark, sf_dir, v) for v in ("ssl", "x509", "http", "dns")}
+    twin = rounded(features(enrich(flow_windows(conn(spark, sf_dir)), **logs)), 5)
+    expected = {r["uid"]: r.asDict() for r in twin.collect()}
+    times = {r["uid"]: r["event_time"] for r in conn(spark, sf_dir).select("uid", "event_time").collect()}
+    assert len(twin.columns) == 146 and len(got) == QUERIES["stream_features"](spark, sf_dir).count()
+    assert {u for u, t in times.items() if t < max(times.values()) - timedelta(days=2)} <= set(got)
+    assert all(got[u] == expected[u] for u in got)
+    assert all(any(r[c] > 0 for r in got.values()) for c in ("http_avg_ua_len", "dns_qtype_A", "x509_key_length", "dest_port_entropy"))
