@@ -16,6 +16,8 @@ from .common import crc32_of_id, lean, mix64, slices
 
 #: Hashed n-grams; texts whose vectors a task holds at once; bytes of text that it takes apart at once.
 BUCKETS, TEXTS, BLOCK = 4096, 250, 1 << 20
+#: Numbers of n-grams at which length bands end; cosines that a band's bound is taken from, at least.
+EDGES, FEW = np.array([8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]), 30
 UNDETERMINED = "und"
 OWN = ("lang_pred", "score", "rejected", "has_letter")
 
@@ -80,9 +82,48 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Rec
                 yield part.slice(at, TEXTS)
 
 
+def band(counts: np.ndarray) -> np.ndarray:
+    """Each text's length band, by its number of n-grams."""
+    return np.digitize(counts.sum(1), EDGES)
+
+
+def cuts(texts: list[str]) -> list[str]:
+    """Of each text the first, and the middle, 1, 2, 4, ... words, as far as they are shorter than it and hold a letter."""
+    found = []
+    for words in map(str.split, texts):
+        for k in (1 << e for e in range(10) if 1 << e < len(words)):
+            found += [" ".join(words[at : at + k]) for at in (0, (len(words) - k) // 2)]
+    return [t for t in found if any(map(str.isalpha, t))]
+
+
+def bounds(texts: list[str], idf: np.ndarray, clusters: int, quantile: float, share: float) -> np.ndarray:
+    """The least cosine per length band: share times a low quantile of the cosines of texts and their cuts to centroids of other texts.
+
+    Longer texts come nearer to their language, so a bound holds for longer ones at least. A band with fewer than FEW
+    cosines takes the shorter one's bound; below the first that has enough nothing is rejected.
+    """
+    cosines, bands = [], []
+    for half in (0, 1):
+        own, others = texts[half::2], texts[1 - half :: 2]
+        if not own or not others:
+            continue
+        centroids = cluster(np.concatenate([vectors(ngram_counts(others[at : at + TEXTS])[0], idf) for at in range(0, len(others), TEXTS)]), clusters)
+        for part in (own[at : at + TEXTS] for at in range(0, len(own), TEXTS)):
+            pieces = part + cuts(part)
+            for at in range(0, len(pieces), TEXTS):
+                counts, lettered = ngram_counts(pieces[at : at + TEXTS])
+                cosines.append((vectors(counts, idf) @ centroids.T).max(1)[lettered])
+                bands.append(band(counts)[lettered])
+    least = np.zeros(len(EDGES) + 1)
+    if cosines:
+        cosine, at = np.concatenate(cosines), np.concatenate(bands)
+        least = np.array([share * np.quantile(cosine[at == b], quantile) if (at == b).sum() >= FEW else 0.0 for b in range(len(least))], np.float64)
+    return np.maximum.accumulate(least)
+
+
 @dataclass
 class LanguageModel:
-    """idf per bucket; unit centroids, the language of each, and the least cosine that is not rejected."""
+    """idf per bucket; unit centroids, the language of each, and its least cosine per length band that is not rejected."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -90,12 +131,13 @@ class LanguageModel:
     least: np.ndarray
 
 
-def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 600, clusters: int = 3, reject_quantile: float = 0.01, reject_share: float = 0.15) -> LanguageModel:
+def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 600, clusters: int = 3, reject_quantile: float = 0.03, reject_share: float = 0.5) -> LanguageModel:
     """A model of the rows' texts and labels; rows with a null label or text are left out.
 
     Document frequencies come from all rows. Centroids come from a sample bounded by per_language rows of each label on
-    average, drawn by the texts' hash. A centroid rejects below reject_share times the reject_quantile quantile of the
-    cosines of its own sample, so that only texts much farther off than nearly all of a language's go.
+    average, drawn by the texts' hash. A language rejects, in each band of lengths, below reject_share times the
+    reject_quantile quantile of the cosines of the sample's texts and of cuts of them, so that short texts, which are far
+    from any centroid, stay, and longer ones that are farther off than nearly all of the language's go.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
 
@@ -115,19 +157,17 @@ def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", p
 
     shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}
     if not shares:
-        return LanguageModel(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
+        return LanguageModel(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, len(EDGES) + 1)))
     share = F.create_map(*(F.lit(x) for kv in sorted(shares.items()) for x in kv))[F.col("lang")]
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share * float(1 << 40))
 
     def centroids(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x = np.concatenate([vectors(ngram_counts(p.column("text").to_pylist())[0], idf) for p in text_blocks(table.sort_by("text").to_batches(), "text")])
-        own = cluster(x, clusters)
-        cosines = x @ own.T
-        nearest = cosines.argmax(1)
-        least = [float(np.quantile(cosines[nearest == c, c], reject_quantile)) * reject_share if (nearest == c).any() else 0.0 for c in range(len(own))]
-        return pa.table({"lang": [key[0].as_py()] * len(own), "centroid": list(own.astype(np.float64)), "least": least})
-
-    made = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid array<double>, least double").collect()
+        parts = [p.column("text").to_pylist() for p in text_blocks(table.sort_by("text").to_batches(), "text")]
+        own = cluster(np.concatenate([vectors(ngram_counts(p)[0], idf) for p in parts]), clusters)
+        least = bounds([t for p in parts for t in p], idf, clusters, reject_quantile, reject_share)
+        return pa.table({"lang": [key[0].as_py()] * len(own), "centroid": list(own.astype(np.float64)), "least": [least] * len(own)})
+
+    made = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid array<double>, least array<double>").collect()
     made.sort(key=lambda r: (r["lang"], r["centroid"]))
     return LanguageModel(idf, np.array([r["centroid"] for r in made], np.float32), [r["lang"] for r in made], np.array([r["least"] for r in made]))
 
@@ -137,7 +177,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
 
     lang_pred is the language of the nearest centroid, the first of equally near ones in the languages' order, and
     `und` for a null text, one without letters, or a model without languages. score is the cosine to that centroid, 0
-    for `und`. rejected: `und`, or farther off than the centroid allows. Every row is scored from its whole text alone.
+    for `und`. rejected: `und`, or farther off than the centroid's language allows texts of this length. Every row is scored from its whole text alone.
     """
     kept = docs.drop(*OWN)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids x BUCKETS floats
@@ -153,7 +193,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
                 best = cosines.argmax(1)
                 score = np.where(fine, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
             names = [model.languages[b] if f else UNDETERMINED for b, f in zip(best, fine)]
-            rejected = ~fine | (score < (model.least[best] if model.languages else 1))
+            rejected = ~fine | (score < (model.least[best, band(counts)] if model.languages else 1))
             for name, values in (("lang_pred", pa.array(names, pa.string())), ("score", pa.array(score)), ("rejected", pa.array(rejected)), ("has_letter", pa.array(has_letter))):
                 part = part.append_column(name, values)
             yield part

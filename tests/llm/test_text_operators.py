@@ -167,6 +167,20 @@ def test_language_of_held_out_rows(spark, sf_dir):
     assert not any(r["rejected"] for r in out if r["text"] and len(r["text"]) > 100)
 
 
+def test_foreign_and_random_texts_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = np.random.default_rng(8)
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa".split()
+    letters = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n))
+    far = [" ".join(rng.choice(polish, n)) for n in (30, 100, 1000)] + [letters(n) for n in (30, 100, 330, 3000)]
+    own = [r["text"] for r in docs.collect() if r["text"]]
+    short = [" ".join(t.split()[:k]) for t in own[:40] for k in (4, 20) if len(t.split()) > k]
+    rows = [(k, t) for k, t in enumerate(far + own + short)]
+    out = {r["n"]: r["rejected"] for r in language.predict_languages(spark.createDataFrame(rows, "n int, text string"), language.fit_languages(docs)).collect()}
+    assert all(out[k] for k in range(len(far)))
+    assert sum(out[k] for k in range(len(far), len(rows))) <= 0.01 * len(rows)
+
+
 def test_ngram_counts_by_hand():
     counts, lettered = language.ngram_counts(["ab", None, "!?", "a b", "AB"])
     assert lettered.tolist() == [True, False, False, True, True]
