@@ -134,8 +134,8 @@ class LanguageModel:
 def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 600, clusters: int = 3, reject_quantile: float = 0.03, reject_share: float = 0.5) -> LanguageModel:
     """A model of the rows' texts and labels; rows with a null label or text are left out.
 
-    Document frequencies come from all rows. Centroids come from a sample bounded by per_language rows of each label on
-    average, drawn by the texts' hash. A language rejects, in each band of lengths, below reject_share times the
+    Document frequencies come from all rows. Centroids come from a sample bounded by per_language different texts of each
+    label on average, drawn by the texts' hash, copies counting once. A language rejects, in each band of lengths, below reject_share times the
     reject_quantile quantile of the cosines of the sample's texts and of cuts of them, so that short texts, which are far
     from any centroid, stay, and longer ones that are farther off than nearly all of the language's go.
     """
@@ -155,11 +155,12 @@ def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", p
         df[bucket + 1] = n
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
-    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    different = rows.select("lang", F.xxhash64("text").alias("text")).distinct()  # copies come or stay out together
+    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in different.groupBy("lang").count().collect()}
     if not shares:
         return LanguageModel(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, len(EDGES) + 1)))
     share = F.create_map(*(F.lit(x) for kv in sorted(shares.items()) for x in kv))[F.col("lang")]
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share * float(1 << 40))
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share * float(1 << 40)).distinct()
 
     def centroids(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = [p.column("text").to_pylist() for p in text_blocks(table.sort_by("text").to_batches(), "text")]

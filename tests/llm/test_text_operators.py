@@ -181,6 +181,15 @@ def test_foreign_and_random_texts_are_rejected(spark, sf_dir):
     assert sum(out[k] for k in range(len(far), len(rows))) <= 0.01 * len(rows)
 
 
+def test_language_of_many_copies_is_learned(spark):
+    texts = [prose(k, 40) for k in range(8)]
+    rows = [(t, "xx") for t in texts for _ in range(50)] + [(t.upper().replace("A", "é"), "yy") for t in texts]
+    model = language.fit_languages(spark.createDataFrame(rows, "text string, lang string"), per_language=8)
+    assert set(model.languages) == {"xx", "yy"}
+    drawn = language.predict_languages(spark.createDataFrame(rows[:400], "text string, lang string"), model).collect()
+    assert {r["lang_pred"] for r in drawn} == {"xx"}
+
+
 def test_ngram_counts_by_hand():
     counts, lettered = language.ngram_counts(["ab", None, "!?", "a b", "AB"])
     assert lettered.tolist() == [True, False, False, True, True]
