@@ -110,6 +110,32 @@ def ssl_with_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("uid", "class", *X509_FEATURES))
 
 
+# The same over all rows of the logs, by uid alone: the views above hold only the rows whose flow has a class.
+UID = ("uid",)
+SSL_ALL = f"SELECT * EXCLUDE (nth) FROM (SELECT uid, first_cert_fp, {SSL_COLUMNS}, row_number() OVER (PARTITION BY uid ORDER BY {SSL_ORDER}) AS nth FROM ssl_all) WHERE nth = 1"
+
+
+@registered(with_views(f"SELECT uid, {http_sql(r)} FROM http_all GROUP BY uid", "http_all"))
+def http_per_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(http_rows(view(spark, sf_dir, "http_all"), UID))
+
+
+@registered(with_views(f"SELECT uid, {dns_sql(r)} FROM dns_all GROUP BY uid", "dns_all"))
+def dns_per_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dns_rows(view(spark, sf_dir, "dns_all"), UID))
+
+
+@registered(with_views(SSL_ALL, "ssl_all"))
+def ssl_first_handshake_per_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ssl_rows(view(spark, sf_dir, "ssl_all"), UID)
+
+
+@registered(with_views(f"-- with s AS ({SSL_ALL}), c AS ({CERT_ROWS}) SELECT s.uid, {', '.join(f'c.{x}' for x in X509_FEATURES)} FROM s LEFT JOIN c ON s.first_cert_fp = c.fingerprint", "ssl_all", "x509"))
+def ssl_with_certificates_per_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_certificates(ssl_rows(view(spark, sf_dir, "ssl_all"), UID), certificate_rows(view(spark, sf_dir, "x509")))
+    return rounded(rows.select("uid", *X509_FEATURES))
+
+
 # Sources and cleaning.
 @registered(with_views("SELECT class, count(*) AS flows, count(service) AS with_service FROM conn GROUP BY class", "conn"))
 def combined_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +317,11 @@ def features_ssl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features(ssl_rows(view(spark, sf_dir, "ssl")), families=("ssl",)))
 
 
+@registered(with_views(f"-- with s AS ({SSL_ALL}) {features_sql(('ssl',), 's').replace('uid, class,', 'uid,', 1)}", "ssl_all"))
+def features_ssl_per_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features(ssl_rows(view(spark, sf_dir, "ssl_all"), UID), UID, ("ssl",)))
+
+
 @registered(with_views(f"{ENRICHED_SQL} SELECT uid, class, has_ssl, has_http, has_dns, http_request_count, dns_query_count, x509_key_length FROM joined", *ALL_VIEWS))
 def enriched_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched(spark, sf_dir).select("uid", "class", "has_ssl", "has_http", "has_dns", "http_request_count", "dns_query_count", "x509_key_length")

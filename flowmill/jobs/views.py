@@ -86,6 +86,10 @@ VIEWS = {
     "http": (HTTP, "lineitem JOIN events ON l_orderkey = event_id WHERE l_linestatus = 'O'"),
     "dns": (DNS, "lineitem JOIN events ON l_orderkey = event_id WHERE l_linestatus = 'F'"),
     "ssl": (SSL, "(SELECT *, 0 AS copy FROM orders UNION ALL SELECT *, 1 AS copy FROM orders WHERE o_orderkey % 20 = 0) JOIN events ON o_orderkey = event_id WHERE o_orderstatus <> 'P'"),
+    **{f"{name}_all": ({c: e for c, e in columns.items() if c != "class"}, rows) for name, columns, rows in (
+        ("http", HTTP, "lineitem WHERE l_linestatus = 'O'"), ("dns", DNS, "lineitem WHERE l_linestatus = 'F'"),
+        ("ssl", SSL, "(SELECT *, 0 AS copy FROM orders UNION ALL SELECT *, 1 AS copy FROM orders WHERE o_orderkey % 20 = 0) WHERE o_orderstatus <> 'P'"),
+    )},  # all rows, with or without an event; so they have no class
     "x509": (X509, "(SELECT *, 0 AS copy FROM part UNION ALL SELECT *, 1 AS copy FROM part WHERE p_partkey % 25 = 0)"),
 }
 

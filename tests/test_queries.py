@@ -48,3 +48,10 @@ def test_forest_detects_each_test_flow_once(spark, sf_dir):
     rows = QUERIES["forest_detections"](spark, sf_dir).collect()
     assert len({r["uid"] for r in rows}) == len(rows) > 0
     assert all(0 <= r["confidence"] <= 1 and r["is_confident"] == (r["confidence"] >= 0.9) for r in rows)
+
+
+@pytest.mark.parametrize("name, table, key, kept", [("http_per_uid", "lineitem", "l_orderkey", "l_linestatus = 'O'"), ("dns_per_uid", "lineitem", "l_orderkey", "l_linestatus = 'F'"), *((n, "orders", "o_orderkey", "o_orderstatus <> 'P'") for n in ("ssl_first_handshake_per_uid", "ssl_with_certificates_per_uid", "features_ssl_per_uid"))])
+def test_logs_without_an_event_are_reduced_too(spark, sf_dir, name, table, key, kept):
+    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").filter(kept).select(key).distinct()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert QUERIES[name](spark, sf_dir).count() == keys.count() > keys.join(events, keys[key] == events.event_id, "left_semi").count()
