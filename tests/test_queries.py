@@ -55,3 +55,17 @@ def test_logs_without_an_event_are_reduced_too(spark, sf_dir, name, table, key,
     keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").filter(kept).select(key).distinct()
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert QUERIES[name](spark, sf_dir).count() == keys.count() > keys.join(events, keys[key] == events.event_id, "left_semi").count()
+
+
+def test_forests_see_all_features(spark, sf_dir):
+    rows, names = model_queries.table(spark, sf_dir)
+    assert len(names) == 144 and rows.columns == ["uid", "class", *names]
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert all(rows.filter(f"{c} > 0").count() for c in ("http_avg_ua_len", "dns_qtype_A", "ssl_version", "x509_key_length", "history_len", "src_flow_count", "duration_log"))
+    assert {r["folds"] for r in QUERIES["forest_cross_validation"](spark, sf_dir).collect()} == {5}
+
+
+def test_grid_search_query(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(model_queries, "GRID", ({"numTrees": 2, "maxDepth": 1}, {"numTrees": 2, "maxDepth": 3}))
+    rows = QUERIES["forest_grid_search"](spark, sf_dir).collect()
+    assert len(rows) == 8 and len({r["candidate"] for r in rows if r["is_best"]}) == 1
