@@ -97,7 +97,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
     kept = docs.drop(*OWN, "_words", "_base")
     low = F.lower(F.col(text))
     maybe = F.coalesce(reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in ANCHORS)), F.lit(False))
-    files = docs.select(F.col(text)).filter(maybe).select(words_of(F.col(text)).alias("_words"))
+    files = docs.select(words_of(F.col(text)).alias("_words"))  # all of them, also those without an anchor
     df = document_frequency(files, templates)
     rarest = lambda phrase: min(range(len(phrase)), key=lambda i: (df[phrase[i]], phrase[i], i))
 

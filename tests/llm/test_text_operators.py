@@ -369,3 +369,10 @@ def test_words_at_once_match_the_pattern(texts):
     found = words.split_words(texts)
     assert found[0] == expected[0] and found[1].tolist() == expected[1].tolist() and found[2].tolist() == expected[2].tolist()
     assert bpe.vocabulary()[1] == words.USUAL
+
+
+def test_license_words_are_counted_in_all_files(spark, monkeypatch):
+    counted, count = [], licenses.document_frequency
+    monkeypatch.setattr(licenses, "document_frequency", lambda *a: counted.append(count(*a)) or counted[-1])
+    licenses.scan_licenses(spark.createDataFrame([("the public version",), ("general public version",), ("mit license",), (None,)], "text string"))
+    assert [counted[0][w] for w in ("public", "version", "general", "license", "apache")] == [2, 2, 1, 1, 0]
