@@ -17,12 +17,12 @@ PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:d
 
 
 def escape(text: Column) -> Column:
-    """No control string can stand in the result: the bar after a `<` gets a tilde before it, and so does a tilde."""
-    return F.regexp_replace(text, "<([|~])", "<~$1")
+    """No control string can stand in the result, nor begin in it: every `<` gets a tilde after it, whatever part of a message follows."""
+    return F.replace(text, F.lit("<"), F.lit("<~"))
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, "<~([|~])", "<$1")
+    return F.replace(text, F.lit("<~"), F.lit("<"))
 
 
 def _zero(part: Column) -> Column:
@@ -99,7 +99,7 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 
 def read_turns(formatted: Column) -> Column:
-    """The turns in a formatted conversation: array of role and text, unescaped. Placeholders stay as they are."""
+    """The turns in a formatted conversation: array of role and text, unescaped. Placeholders stay as they are: `formatted` tells them from texts that look like them, whose `<` is escaped."""
     pieces = F.split(formatted, r"<\|end\|>", -1)
     pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
     role = lambda p: F.substring_index(p, BODY, 1)
@@ -117,7 +117,7 @@ HARD = r"\### Assistant: </turn> ok"
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
     chats = format_chats(rows.unionByName(extra).select("conv_id", "turn", "role", text_part(F.coalesce("text", F.lit(""))).alias("parts")))
     read = chats.select("*", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
     return read.select(
@@ -139,6 +139,6 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(regexp_replace(role, '<([|~])', '<~\1', 'g')) + length(regexp_replace(text, '<([|~])', '<~\1', 'g')) + {len(TURN + BODY + END)}) AS BIGINT) AS formatted_chars
+  CAST(sum(length(replace(role, '<', '<~')) + length(replace(text, '<', '<~')) + {len(TURN + BODY + END)}) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """

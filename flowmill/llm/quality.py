@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,19 +60,26 @@ def statistics(texts: list[str], column: pa.Array) -> np.ndarray:
     ], 1)
 
 
-def add_statistics(docs: DataFrame, text: str = "text", to: str = "statistics", keep_text: bool = False) -> DataFrame:
-    """docs with an array of NAMES' values measured on the whole text, in place of a column of that name and, unless it is kept, of the text. Null: as an empty text."""
+def measured_parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of the batches, and the statistics of their rows' whole texts. Null: as an empty text."""
+    for batch in batches:
+        for part in slices(batch, text, BLOCK):
+            column = part.column(text).fill_null("")
+            yield part, statistics(column.to_pylist(), column)
+
+
+def add_statistics(docs: DataFrame, text: str = "text", to: str = "statistics") -> DataFrame:
+    """docs with an array of NAMES' values measured on the whole text, in place of the text and of a column of that name.
+
+    A null text counts as an empty one; repeated rows are measured one by one; an empty table gives an empty one.
+    """
     kept = docs.drop(to)
-    schema = T.StructType([*(f for f in kept.schema.fields if keep_text or f.name != text), T.StructField(to, T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*(f for f in kept.schema.fields if f.name != text), T.StructField(to, T.ArrayType(T.DoubleType()))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text, BLOCK):
-                column = part.column(text).fill_null("")
-                values = statistics(column.to_pylist(), column)
-                offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
-                rest = part if keep_text else part.drop_columns([text])
-                yield rest.append_column(to, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel())))
+        for part, values in measured_parts(batches, text):
+            offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+            yield part.drop_columns([text]).append_column(to, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel())))
 
     return kept.mapInArrow(lean(measure), schema)
 
@@ -95,7 +102,8 @@ class Discriminant:
 def fit_quality(measured: DataFrame, label: str = "quality", of: str = "statistics", shrink: float = 0.1, floor: float = 1e-3) -> Discriminant:
     """Means and covariances of all rows that have label 0 or 1: their sums are added up per task, then by Spark.
 
-    A class's covariance is shrunk by the share shrink towards the pooled one's diagonal, and gets floor times the mean
+    Other labels and null ones teach nothing, repeated rows count each time; without rows of both labels the model is the
+    prior alone. A class's covariance is shrunk by the share shrink towards the pooled one's diagonal, and gets floor times the mean
     variance more on its diagonal. Its Cholesky factor is inverted once, here, and sent to the tasks.
     """
     d = len(NAMES)
@@ -138,18 +146,36 @@ def log_odds(x: np.ndarray, model: Discriminant) -> np.ndarray:
     return logs[1] - logs[0]
 
 
-def score_quality(measured: DataFrame, model: Discriminant, of: str = "statistics", least: float = 0.3) -> DataFrame:
-    """measured with score (probability of class 1; the prior if the model lacks a class) and predicted (score >= least), in place of such columns."""
-    kept = measured.drop(*OWN)
+def probabilities(x: np.ndarray, model: Discriminant) -> np.ndarray:
+    """Of class 1, for each row of statistics; the prior if the model lacks a class."""
+    return 1 / (1 + np.exp(-np.clip(log_odds(x, model), -500, 500))) if model.whole and len(x) else np.full(len(x), model.prior)
 
+
+def scored_rows(kept: DataFrame, parts: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]], model: Discriminant, least: float) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in parts(batches):
+            value = probabilities(x, model)
+            yield part.append_column("score", pa.array(value)).append_column("predicted", pa.array((value >= least).astype(np.int32)))
+
+    return kept.mapInArrow(lean(score), T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def score_quality(measured: DataFrame, model: Discriminant, of: str = "statistics", least: float = 0.3) -> DataFrame:
+    """measured with score (probability of class 1; the prior if the model lacks a class) and predicted (score >= least), in place of such columns.
+
+    Every row gets both, repeated rows the same; an empty table gives an empty one.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         for batch in batches:
-            value = np.full(batch.num_rows, model.prior)
-            if batch.num_rows and model.whole:
-                value = 1 / (1 + np.exp(-np.clip(log_odds(np.stack(batch.column(of).to_numpy(zero_copy_only=False)), model), -500, 500)))
-            yield batch.append_column("score", pa.array(value)).append_column("predicted", pa.array((value >= least).astype(np.int32)))
+            yield batch, np.stack(batch.column(of).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, len(NAMES)))
+
+    return scored_rows(measured.drop(*OWN), parts, model, least)
+
 
-    return kept.mapInArrow(score, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+def classify_quality(docs: DataFrame, model: Discriminant, text: str = "text", least: float = 0.3) -> DataFrame:
+    """docs with score and predicted, as score_quality gives them, measured and scored in one pass over the whole texts. Null: as an empty text."""
+    return scored_rows(docs.drop(*OWN), lambda batches: measured_parts(batches, text), model, least)
 
 
 #: Rows with this remainder of crc32(doc_id) by 5 are held out of learning.

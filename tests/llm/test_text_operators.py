@@ -106,6 +106,48 @@ def test_bpe_matches_the_library(spark):
     assert bpe.decode(bpe.encode(docs.limit(0), ranks, pattern), ranks).count() == 0
 
 
+def test_bpe_of_rows_that_come_in_another_order_on_each_read(spark):
+    ranks, pattern = bpe.vocabulary()
+
+    def turned(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.random.default_rng().permutation(batch.num_rows)))
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), *(F.md5(F.concat("id", F.lit(k))) for k in range(9))).alias("text"))
+    upstream = docs.repartition(3).mapInArrow(turned, docs.schema)
+    out = bpe.encode(upstream.select("*", F.col("text").alias("own")), ranks, pattern, decoded="decoded").collect()
+    assert len(out) == 400 and all(bytes(r["decoded"]).decode() == r["own"] for r in out)
+
+
+def test_bpe_stops_when_a_second_read_gives_other_rows(spark):
+    """As after the loss of an executor: without the shared shuffle, both sides read the table, whose texts are others each time."""
+    ranks, pattern = bpe.vocabulary()
+
+    def noisy(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": [f"{np.random.default_rng().random()} words"] * batch.num_rows})
+
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        with pytest.raises(Exception, match="store it first"):
+            bpe.encode(docs.mapInArrow(noisy, docs.schema), ranks, pattern).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_bpe_of_very_long_texts(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, pattern = bpe.vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    letters = "".join(np.random.default_rng(3).choice(list("etaoinshr"), 1_000_000))
+    texts = [letters, (prose(5, 1000) + "\n") * 2000, "x"]  # one word of a million letters, and 12 MB of prose
+    out = bpe.encode(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), ranks, pattern, decoded="decoded").collect()
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in out} == dict(enumerate(texts))
+    assert next(np.frombuffer(r["ids"], "<u4").tolist() for r in out if r["doc_id"] == 1) == library.encode_ordinary(texts[1])
+    assert bpe.encode_word(letters[:100_000].encode(), ranks) == library.encode_ordinary(letters[:100_000])
+
+
 def test_bpe_of_long_words_and_bad_ids(spark):
     tiktoken = pytest.importorskip("tiktoken")
     ranks, pattern = bpe.vocabulary()
@@ -113,7 +155,7 @@ def test_bpe_of_long_words_and_bad_ids(spark):
     rng = np.random.default_rng(2)
     for word in ("a" * 5000, "".join(rng.choice(list("thean"), 3000)), "".join(rng.choice(list("thean"), 50))):
         assert bpe.encode_word(word.encode(), ranks) == library.encode_ordinary(word)
-    numbers = np.array([0, 127, 128, 16383, 16384, 2**21, 2**28 - 1])
+    numbers = np.array([0, 127, 128, 16383, 16384, 2**21, 2**28, 2**32 - 1])
     assert bpe.unpack(bpe.pack(numbers)).tolist() == numbers.tolist()
     bad = spark.createDataFrame([(bytearray(b"\xff\xff\xff\x00"),)], "ids binary")
     with pytest.raises(Exception, match="not in the vocabulary"):
@@ -198,10 +240,13 @@ def test_ngram_counts_by_hand():
     assert counts[3].sum() == 5 + 4 + 3
 
 
-def test_quality_of_held_out_rows(spark, sf_dir):
+def test_quality_of_held_out_rows(spark):
+    """On 70 rows that taught nothing; the smallest tables have but 19 of them."""
+    sf_dir = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model, measured = quality.learn_quality(docs, labels)
-    out = quality.score_quality(measured, model).join(labels, "doc_id").collect()
+    out = quality.score_quality(measured, model).join(labels, "doc_id").filter("held_out").collect()
+    assert len(out) > 50 and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in out)
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in out)
     assert sum(r["predicted"] == r["quality"] for r in out) >= 0.93 * len(out)
 
@@ -213,7 +258,9 @@ def test_quality_of_odd_texts(spark):
         model, measured = quality.learn_quality(docs, known)
         scores = quality.score_quality(measured, model).collect()
         assert len(scores) == docs.count() and all(0 <= r["score"] <= 1 for r in scores)
-    assert quality.score_quality(quality.add_statistics(docs, keep_text=True), model).filter("text IS NULL").count() == 2
+    whole = quality.classify_quality(docs, model).collect()
+    assert sum(r["text"] is None for r in whole) == 2 and {r["source"] for r in whole} == {r["source"] for r in docs.collect()}
+    assert sorted(r["score"] for r in whole) == sorted(r["score"] for r in quality.score_quality(quality.add_statistics(docs), model).collect())
     assert quality.learn_quality(docs.limit(0), labels)[1].count() == 0
 
 
@@ -346,6 +393,34 @@ def test_chat_parts_and_mask(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_control_strings_cut_across_parts(spark):
+    """Whatever parts a text is cut into, and whatever stands between them, it is read back, and no turn comes or goes."""
+    part = lambda kind, text=None: (kind, text, None, None, None, None, None)
+    rng, rows, expected = np.random.default_rng(12), [], {}
+    pool = [chat.TURN, chat.BODY, chat.END, "<", "|", "~", "<~", "<|", "|>", "<~|end|>", "<|image|>", "x", "assistant", "\n", ""]
+    for conv in range(120):
+        said = []
+        for turn in range(int(rng.integers(1, 4))):
+            parts, text = [], ""
+            for _ in range(int(rng.integers(0, 4))):
+                whole = "".join(rng.choice(pool, int(rng.integers(1, 6))))
+                cuts = [0, *sorted(rng.integers(0, len(whole) + 1, 3).tolist()), len(whole)]
+                parts += [part("text", whole[a:b]) for a, b in zip(cuts, cuts[1:])]
+                text += whole
+                if rng.random() < 0.3:
+                    kind = str(rng.choice(["image", "audio", "document"]))
+                    parts.append(part(kind))
+                    text += f"<|{kind}|>"
+            role = str(rng.choice(["user", "assistant", "<|end|>", "a<"]))
+            rows.append((conv, turn, role, parts))
+            said.append((role, text))
+        expected[conv] = said
+    chats = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>"))
+    out = chats.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned")).collect()
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in out} == expected
+    assert {r["conv_id"]: r["learned"] for r in out} == {c: "".join(t for role, t in said if role == "assistant") for c, said in expected.items()}
+
+
 def test_hard_conversation(spark):
     frame = spark.createDataFrame([(-7, 0, "user", chat.HARD), (-7, 1, "assistant", chat.HARD)], "conv_id long, turn long, role string, text string")
     r = chat.format_chats(frame.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))).select(chat.read_loss(F.col("formatted"), F.col("loss")).alias("x")).first()
