@@ -23,13 +23,13 @@ from .common import lean, slices, tasks, utf8_block
 from .words import split_words
 
 #: Bytes of text in a block: what one task holds the positions of at once. A longer text is a block of its own.
-BLOCK = 10 << 20
+BLOCK = 8 << 20
 #: Bytes of text that are split into words at once.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Rows whose ids are put together at once, by their number of words; bytes of a word that is encoded without a heap.
 PIECE, SHORT = 1 << 20, 64
 #: Word buckets for each shuffle partition; bytes of words and their ids that a bucket's task keeps at once.
-BUCKETS_PER_TASK, KNOWN = 4, 64 << 20
+BUCKETS_PER_TASK, KNOWN = 4, 32 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -143,7 +143,9 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     links = ordered.mapInArrow(lean(counted), "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
     smallest = classes.join(roots, "class").groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(links, "class", "left").join(roots, "class", "left").join(smallest, "root", "left").select("vector", "rep", "copies", "n", "component_id")
-    found = rows.withColumn("_key", F.when(usable, F.col("vector"))).join(of_class.withColumnRenamed("vector", "_key"), "_key", "left")
+    found = rows.filter(usable).join(stored(of_class, "of-class"), "vector").drop("vector")  # stored, so that Spark can split a vector of many rows
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("rep", "copies", "n", "component_id")]
+    found = found.unionByName(rows.filter(~usable).select("id", *nothing))
     component = F.coalesce("component_id", "rep", "id")
     return found.select(
         F.col("id").alias(id),

@@ -17,6 +17,7 @@ from .common import crc32_of_id, lean, mix64, slices
 #: Hashed n-grams; texts whose vectors a task holds at once; bytes of text that it takes apart at once.
 BUCKETS, TEXTS, BLOCK = 4096, 250, 1 << 20
 #: Numbers of n-grams at which length bands end; cosines that a band's bound is taken from, at least.
+MOST_LANGUAGES = 10_000  # a label is a language: the driver gets one row for each
 EDGES, FEW = np.array([8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]), 30
 UNDETERMINED = "und"
 OWN = ("lang_pred", "score", "rejected", "has_letter")
@@ -59,20 +60,24 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Up to k unit centroids: spherical k-means, begun at the vector nearest the mean and then at the farthest from those chosen."""
-    chosen = [int(np.argmax(x @ x.mean(0)))]
+def cluster(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.02) -> np.ndarray:
+    """Up to k unit centroids: spherical k-means, begun at the vector nearest the mean and then at vectors drawn by their distance from those chosen.
+
+    Clusters with less than the share least of the vectors, which stand for single odd texts, are dropped; the largest stays.
+    """
+    rng, chosen = np.random.default_rng(17), [int(np.argmax(x @ x.mean(0)))]
     while len(chosen) < min(k, len(x)):
-        near = (x @ x[chosen].T).max(1)
-        if near.min() > 0.999:
+        far = np.maximum(1 - (x @ x[chosen].T).max(1).astype(np.float64), 0)
+        if far.mean() < 1e-3:
             break
-        chosen.append(int(np.argmin(near)))
+        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
     centroids = x[chosen]
     for _ in range(rounds):
         nearest = np.argmax(x @ centroids.T, 1)
         sums = np.stack([x[nearest == c].sum(0) if (nearest == c).any() else centroids[c] for c in range(len(centroids))])
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centroids
+    sizes = np.bincount(np.argmax(x @ centroids.T, 1), minlength=len(centroids))
+    return centroids[sizes >= min(sizes.max(), least * len(x))]
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -134,8 +139,8 @@ class LanguageModel:
 def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 600, clusters: int = 3, reject_quantile: float = 0.03, reject_share: float = 0.5) -> LanguageModel:
     """A model of the rows' texts and labels; rows with a null label or text are left out.
 
-    Document frequencies come from all rows. Centroids come from a sample bounded by per_language different texts of each
-    label on average, drawn by the texts' hash, copies counting once. A language rejects, in each band of lengths, below reject_share times the
+    Document frequencies come from all rows. Centroids come from a sample of per_language different texts of each label at
+    most, those whose hashes are smallest, copies counting once. A language rejects, in each band of lengths, below reject_share times the
     reject_quantile quantile of the cosines of the sample's texts and of cuts of them, so that short texts, which are far
     from any centroid, stay, and longer ones that are farther off than nearly all of the language's go.
     """
@@ -156,14 +161,20 @@ def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", p
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
     different = rows.select("lang", F.xxhash64("text").alias("text")).distinct()  # copies come or stay out together
-    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in different.groupBy("lang").count().collect()}
+    drawn = per_language + 6 * per_language**0.5  # so many that, but for one case in a billion, per_language are among them
+    sizes = different.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    shares = {r["lang"]: min(1.0, drawn / r["count"]) for r in sizes}
     if not shares:
         return LanguageModel(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, len(EDGES) + 1)))
     share = F.create_map(*(F.lit(x) for kv in sorted(shares.items()) for x in kv))[F.col("lang")]
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share * float(1 << 40)).distinct()
+    spot = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    sample = rows.filter(spot < share * float(1 << 40)).distinct().withColumn("spot", spot)
 
     def centroids(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [p.column("text").to_pylist() for p in text_blocks(table.sort_by("text").to_batches(), "text")]
+        table = table.sort_by([("spot", "ascending"), ("text", "ascending")]).slice(0, per_language)
+        parts = [p.column("text").to_pylist() for p in text_blocks(table.to_batches(), "text")]
         own = cluster(np.concatenate([vectors(ngram_counts(p)[0], idf) for p in parts]), clusters)
         least = bounds([t for p in parts for t in p], idf, clusters, reject_quantile, reject_share)
         return pa.table({"lang": [key[0].as_py()] * len(own), "centroid": list(own.astype(np.float64)), "least": [least] * len(own)})
@@ -208,7 +219,11 @@ FOLDS, HELD_OUT = 4, 2
 
 
 def learn_and_predict(docs: DataFrame) -> DataFrame:
-    """Languages of docs, learned from those of its rows that aren't held out."""
+    """Languages of docs, learned from those of its rows that aren't held out: a null doc_id isn't.
+
+    A null text teaches nothing and is `und`; repeated rows count each time for document frequencies, once in the sample;
+    equal cosines go to the first language; an empty table gives an empty one; columns of OWN's names and held_out are replaced.
+    """
     held_out = F.coalesce(crc32_of_id() % FOLDS == HELD_OUT, F.lit(False))
     model = fit_languages(docs.filter(~held_out))
     return predict_languages(docs.withColumn("held_out", held_out), model)

@@ -2,55 +2,53 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .license_texts import NAMES, PASSAGES, STATEMENTS
+
+
+def template_words(text: str) -> list[str]:
+    """The words of a template or phrase, as those of a file: runs of letters, digits and codes beyond ASCII, in ASCII lower case."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
 @dataclass(frozen=True)
 class Template:
-    """A licence statement's words, and the key phrase in it that a file must hold word by word."""
+    """A licence's statement, and the key phrase in it that a file must hold word by word."""
 
     label: str
     text: str
     key: str
 
-    @property
+    @cached_property
     def words(self) -> list[str]:
-        return self.text.split()
+        return template_words(self.text)
 
-    @property
+    @cached_property
     def key_words(self) -> list[str]:
-        return self.key.split()
+        return template_words(self.key)
 
-    @property
+    @cached_property
     def key_at(self) -> int:
         n = len(self.key_words)
-        return next(i for i in range(len(self.words)) if self.words[i : i + n] == self.key_words)
+        return next(i for i in range(len(self.words) - n + 1) if n and self.words[i : i + n] == self.key_words)
 
 
-# The phrases of the contract, and common licence statements in lower case without marks.
+# The phrases of the contract.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = (
-    Template("mit", "released under the mit license", "mit license"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1"),
-    Template("agpl-3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    Template("reserved", "copyright all rights reserved", "all rights reserved"),
+    *(Template(label, statement.format(name), name.removeprefix("the ")) for label, name in NAMES.items() for statement in STATEMENTS),
+    *(Template(*passage) for passage in PASSAGES),
 )
-#: Every phrase and key phrase holds one of these, so a file without any has no place to look at.
-ANCHORS = ("licen", "cc", "reserved", "redistribution")
+#: A file's licence words that are looked up in the index, the rarest first; a match has more than this share of its template's words in place.
+RARE, SHARE = 8, 0.8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OWN = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
 
@@ -64,56 +62,89 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), SEPARATORS), lambda w: w != "")
 
 
-def starts(words: Column, phrase: list[str], rare: int) -> Column:
-    """Where the phrase's words stand consecutively: the postings of its rarest word, then those of the others at their distance from it."""
+def starts(words: Column, phrase: list[str]) -> Column:
+    """Where the phrase's words stand consecutively."""
     n, array = len(phrase), F.array(*(F.lit(w) for w in phrase))
-    at = F.filter(F.transform(words, lambda w, i: F.when(w == phrase[rare], i - rare)), lambda i: i.isNotNull())
-    return F.filter(at, lambda i: (i >= 0) & (i + n <= F.size(words)) & (F.slice(words, F.greatest(i, F.lit(0)) + 1, n) == array))
+    at = F.filter(F.transform(words, lambda w, i: F.when(w == phrase[0], i)), lambda i: i.isNotNull())
+    return F.filter(at, lambda i: F.slice(words, i + 1, n) == array)
 
 
-def shared(words: Column, start: Column, template: list[str]) -> Column:
-    """The share of the template's words that the file has at the same relative position."""
-    return sum((F.coalesce(F.get(words, F.when(start + q >= 0, start + q)) == w, F.lit(False)).cast("int") for q, w in enumerate(template)), F.lit(0)) / float(len(template))
+def may_hold(text: Column, phrases: list[list[str]]) -> Column:
+    """Can a text hold one of the phrases, as words or parts of words? Only texts with a phrase's longest word are searched for more."""
+    low, by_word = F.lower(text), defaultdict(set)
+    for phrase in phrases:
+        by_word[max(phrase, key=len)].add(SEPARATORS.join(phrase))
+    each = [F.contains(low, F.lit(word)) & F.regexp_like(low, F.lit("|".join(sorted(found)))) for word, found in sorted(by_word.items())]
+    return F.coalesce(reduce(lambda a, b: a | b, each, F.lit(False)), F.lit(False))
 
 
-def document_frequency(files: DataFrame, templates: tuple[Template, ...]) -> dict[str, int]:
-    """In how many of all files each licence word stands. The vocabulary bounds what the driver gets."""
-    vocabulary = sorted({w for t in templates for w in t.words} | {w for p in PHRASES for w in p.split()})
+def document_frequency(files: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """In how many of all files (their words are in _words) each word of the vocabulary stands. Its size bounds what the driver gets."""
     present = F.array_intersect("_words", F.array(*(F.lit(w) for w in vocabulary)))
     rows = files.select(F.explode(present).alias("word")).groupBy("word").count().collect()
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows}
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+def constant(value: object, kind: str) -> Column:
+    """A value of that type as one literal."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, rare: int = RARE, share: float = SHARE) -> DataFrame:
     """docs with the licences that they state.
 
-    A file's words are looked up in a positional index of the templates: the word of each key phrase that the fewest
-    files hold (the highest IDF over all files) gives places, and those at which the key phrase stands whole remain. A
-    match's strength is the share of the template's words at their relative position. Adds n_words; n_base, first_word,
-    last_word and base_labels of the phrases; labels of both; score, the best share (at least 0.5 with a phrase, 0
-    without a label); and matches (label, start, share). They replace columns of these names. A null text is empty, and
-    so has no words; repeated rows are scanned one by one. There is no shuffle of files: rows stay where they are read.
+    A positional index has, for each word of the templates, the templates and places at which it stands. Of a file, the
+    licence words with the highest IDF (over all files) are looked up in it: rare of them, and the rarest word of every
+    template's key phrase, so that no match is missed where many licences meet. A posting and the word's place in the
+    file give a template and where it would begin; the postings' intersection there, the template's words that the file
+    has at the same relative positions, must be more than share of the template, and the key phrase must stand whole.
+
+    Adds n_words; n_base, first_word, last_word and base_labels of the phrases; labels of both; score, the best share (at
+    least 0.5 with a phrase, 0 without a label); and matches (label, start, share), of equal statements each. They replace
+    columns of these names. A null text is empty, and so has no words; repeated rows are scanned one by one; an empty table
+    gives an empty one. Files that can't hold any phrase or key phrase are not taken apart, but counted for the IDF. There
+    is no shuffle of files: rows stay where they are read. A template of few words must stand whole (of five words, each).
     """
-    kept = docs.drop(*OWN, "_words", "_base")
-    low = F.lower(F.col(text))
-    maybe = F.coalesce(reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in ANCHORS)), F.lit(False))
-    files = docs.select(words_of(F.col(text)).alias("_words"))  # all of them, also those without an anchor
-    df = document_frequency(files, templates)
-    rarest = lambda phrase: min(range(len(phrase)), key=lambda i: (df[phrase[i]], phrase[i], i))
-
-    none = F.array().cast("array<string>")
+    kept = docs.drop(*OWN, "_words", "_base", "_look", "_spots", "_began")
+    vocabulary = sorted({w for t in templates for w in t.words})
+    df = document_frequency(docs.select(words_of(F.col(text)).alias("_words")), vocabulary) if vocabulary else {}
+    ranked = sorted(vocabulary, key=lambda w: (df[w], w))
+    keys = sorted({min(t.key_words, key=lambda w: (df[w], w)) for t in templates})
+    index = defaultdict(list)
+    for k, t in enumerate(templates):
+        for at, w in enumerate(t.words):
+            index[w].append({"t": k, "at": at})
+    postings = constant(index, "map<string,array<struct<t:int,at:int>>>")
+    of = constant([{"label": t.label, "words": t.words, "key": t.key_words, "key_at": t.key_at} for t in templates], "array<struct<label:string,words:array<string>,key:array<string>,key_at:int>>")
+
+    words = F.col("_words")
+    some = lambda column, kind: F.when(F.size(words) > 0, column).otherwise(F.array().cast(kind))
     found = kept.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long"))
-    found = found.withColumn("_words", F.when(maybe, words_of(F.col(text))).otherwise(none))
-    base = F.array(*(F.struct(F.lit(label).alias("label"), starts(F.col("_words"), p.split(), rarest(p.split())).alias("at")) for p, label in PHRASES.items()))
-
-    def matched(t: Template) -> Column:
-        places = starts(F.col("_words"), t.key_words, rarest(t.key_words))
-        return F.transform(places, lambda i: F.struct(F.lit(t.label).alias("label"), (i - t.key_at).alias("start"), shared(F.col("_words"), i - t.key_at, t.words).alias("share")))
-
-    some = F.size("_words") > 0
-    no_match = F.array().cast("array<struct<label:string,start:int,share:double>>")
-    found = found.withColumn("_base", F.when(some, F.filter(base, lambda b: F.size(b.at) > 0)))
-    found = found.withColumn("matches", F.when(some, F.concat(*(matched(t) for t in templates))).otherwise(no_match))
+    maybe = may_hold(F.col(text), [*map(template_words, phrases), *(t.key_words for t in templates)])
+    found = found.withColumn("_words", F.when(maybe, words_of(F.col(text))).otherwise(F.array().cast("array<string>")))
+
+    present = F.array_intersect(constant(ranked, "array<string>"), words)  # in the order of the first
+    looked_up = F.array_union(F.slice(present, 1, rare), F.array_intersect(constant(keys, "array<string>"), words))
+    spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains("_look", s.w))
+
+    def has_key(a: Column) -> Column:
+        t = F.get(of, a.t)
+        at = a.start + t.key_at
+        return (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, F.size(t.key)) == t.key)
+
+    def matched(a: Column) -> Column:
+        t = F.get(of, a.t)
+        same = F.filter(F.transform(t.words, lambda w, q: F.coalesce(F.get(words, a.start + q) == w, F.lit(False))), lambda x: x)
+        return F.struct(t.label.alias("label"), a.start.alias("start"), (F.size(same) / F.size(t.words)).alias("share"))
+
+    began = F.transform("_spots", lambda s: F.filter(F.transform(F.try_element_at(postings, s.w), lambda p: F.struct(p.t.alias("t"), (s.i - p.at).alias("start"))), has_key))
+    base = F.array(*(F.struct(F.lit(label).alias("label"), starts(words, template_words(p)).alias("at")) for p, label in phrases.items()))
+    found = found.withColumn("_look", some(looked_up, "array<string>"))
+    found = found.withColumn("_spots", some(spots, "array<struct<w:string,i:int>>"))
+    found = found.withColumn("_began", F.array_distinct(F.flatten(began)))
+    found = found.withColumn("matches", F.filter(F.transform("_began", matched), lambda m: m.share > share))
+    found = found.withColumn("_base", F.when(F.size(words) > 0, F.filter(base, lambda b: F.size(b.at) > 0)))
+    none = F.array().cast("array<string>")
     places = F.flatten(F.transform("_base", lambda b: b.at))
     base_labels = F.coalesce(F.transform("_base", lambda b: b.label), none)
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -135,23 +166,23 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 9).alias("score"))
 
 
-def _sql_starts(phrase: str) -> str:
-    words = phrase.split()
+def _sql_starts(words: list[str]) -> str:
     same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words))
     return f"list_filter(range(len(w) - {len(words) - 1}), lambda i: {same})"
 
 
 def _sql_shares(t: Template) -> str:
+    """The shares of the template's words in place, wherever its key phrase stands, those above SHARE."""
     at = f"i - {t.key_at}"
     same = " + ".join(f"CASE WHEN {at} + {q} >= 0 AND w[{at} + {q + 1}] = '{x}' THEN 1 ELSE 0 END" for q, x in enumerate(t.words))
-    return f"list_transform({_sql_starts(t.key)}, lambda i: ({same}) / {len(t.words)}.0::DOUBLE)"
+    return f"list_filter(list_transform({_sql_starts(t.key_words)}, lambda i: ({same}) / {len(t.words)}.0::DOUBLE), lambda x: x > {SHARE})"
 
 
 OP9_SQL = rf"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ),
-places AS (SELECT doc_id, w, {', '.join(f"{_sql_starts(p)} AS p{k}" for k, p in enumerate(PHRASES))}, {', '.join(f"{_sql_shares(t)} AS t{k}" for k, t in enumerate(TEMPLATES))} FROM words),
+places AS (SELECT doc_id, w, {', '.join(f"{_sql_starts(template_words(p))} AS p{k}" for k, p in enumerate(PHRASES))}, {', '.join(f"{_sql_shares(t)} AS t{k}" for k, t in enumerate(TEMPLATES))} FROM words),
 found AS (
   SELECT doc_id, len(w) AS n_words, list_concat({', '.join(f"p{k}" for k in range(len(PHRASES)))}) AS spots,
     list_concat({', '.join(f"CASE WHEN len(p{k}) > 0 THEN ['{label}'] ELSE [] END" for k, label in enumerate(PHRASES.values()))}) AS base,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,13 +13,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 #: A batch between the JVM and Python; both sides hold some.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a temporary one only where it names none (tests)."""
+    """The folder that the session names for checkpoints. Where it names none, a temporary one, which only a local session (a test) can share with its tasks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,7 +42,10 @@ def until_exit(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once per application, as --py-files does; and keep the session's Arrow batches small."""
+    """Give this package to the executors, once per application, as --py-files does; and keep the session's Arrow batches small.
+
+    This sets spark.sql.execution.arrow.maxBytesPerBatch in the caller's session, unless the caller has set it.
+    """
     if spark.conf.get(BATCH[0]) == "67108864b":  # as it comes; a session's own choice stays
         spark.conf.set(BATCH[0], str(BATCH[1]))
     app = spark.sparkContext.applicationId

@@ -61,14 +61,15 @@ def as_rows(df, *columns):
 def test_jaccard_join_of_odd_documents(spark):
     docs = documents(spark)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    out = as_rows(jaccard.near_duplicate_documents(docs), "doc_id", "n_shingles", "component_id", "n_links")
+    out = as_rows(jaccard.near_duplicate_documents(docs, links=True), "doc_id", "n_shingles", "component_id", "n_links")
     assert out == sorted(brute_components(rows), key=str)
     assert jaccard.near_duplicate_documents(docs.limit(0)).count() == 0
+    assert as_rows(jaccard.near_duplicate_documents(docs), "doc_id", "n_shingles", "component_id") == sorted((r[:3] for r in out), key=str)
 
 
-@pytest.mark.parametrize("hot", [1, 32])
-def test_jaccard_join_of_families(spark, monkeypatch, hot):
-    """Chains of edits, so that links are not transitive, in trees of a few sets; shingles of many components among them."""
+@pytest.mark.parametrize(("hot", "bits"), [(1, 64), (32, 64), (32, 5)])
+def test_jaccard_join_of_families(spark, monkeypatch, hot, bits):
+    """Chains of edits, so that links are not transitive, in trees of a few sets; shingles of many components among them; numbers that many sets share."""
     monkeypatch.setattr(jaccard, "GROUP", 4)
     monkeypatch.setattr(jaccard, "HOT", hot)
     rng, rows = np.random.default_rng(5), []
@@ -79,10 +80,59 @@ def test_jaccard_join_of_families(spark, monkeypatch, hot):
             words[int(rng.integers(len(words)))] = f"w{family}-{k}"
     order = rng.permutation(len(rows)).tolist()
     rows = [(order[i], t) for i, t in rows]
-    out = jaccard.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    out = jaccard.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), links=True, bits=bits)
     assert as_rows(out, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute_components(rows), key=str)
 
 
+@pytest.mark.parametrize("depth", [0, 1])
+def test_jaccard_join_of_common_lines(spark, monkeypatch, depth):
+    """Documents of a few lines from a common pool: every shingle is frequent, few documents link; joined anew, and compared in blocks."""
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "DEPTH", depth)
+    rng = np.random.default_rng(21)
+    lines = [" ".join(f"{k}w{j}" for j in range(9)) for k in range(8)]
+    rows = [(i, "\n".join(lines[k] for k in rng.choice(8, int(rng.integers(1, 4)), False)) + (f" tail{i % 3}" if i % 2 else "")) for i in range(90)]
+    out = jaccard.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), links=True)
+    assert as_rows(out, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute_components(rows), key=str)
+
+
+def test_jaccard_join_of_templated_pages(spark, monkeypatch):
+    """Pages that share four fifths and more of their shingles, and don't link: no pair of them becomes a candidate, nor a block."""
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    checked = []
+    check = jaccard.Corpus.checked_pairs
+    monkeypatch.setattr(jaccard.Corpus, "checked_pairs", lambda self, pairs: checked.append(pairs.count()) or check(self, pairs))
+    monkeypatch.setattr(jaccard.Corpus, "compared_clusters", None)
+    frame = [f"frame{j}" for j in range(840)]
+    rows = [(i, " ".join(frame[:420] + [f"own{i}-{j}" for j in range(160)] + frame[420:])) for i in range(60)]
+    out = jaccard.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_rows(out, "doc_id", "n_shingles", "component_id") == sorted((r[:3] for r in brute_components(rows)), key=str)
+    assert sum(checked) == 0
+
+
+def test_words_that_collide_by_structure_stay_apart(spark):
+    """Sums of bytes times powers of a base modulo 2**64 are equal for these two words, whatever the base."""
+    word = "a"
+    while len(word) < 2048:
+        word += "".join("b" if c == "a" else "a" for c in word)
+    other = "".join("b" if c == "a" else "a" for c in word)
+    out = jaccard.near_duplicate_documents(spark.createDataFrame([(1, word), (2, other), (3, f"x {word} y z u v"), (4, f"x {other} y z u v")], "doc_id long, text string"))
+    assert as_rows(out, "doc_id", "component_id") == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Rows with one id and other texts, repeated rows, null ids, copies and blank texts."""
+    a, b, near = prose(31, 60), prose(32, 60), prose(31, 60).split()
+    near[30] = "changed"
+    rows = [(5, a, "s"), (5, b, "s"), (7, a, "s"), (5, a, "s"), (5, a, "r"), (None, a, "s"), (9, " ".join(near), "s"), (None, b, "s"), (None, "alone", "s"), (3, "", "s"), (3, None, "s"), (3, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string")
+    out = jaccard.one_of_each_group(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(5, a, "r"), (5, b, "s"), (None, "alone", "s"), (3, "", "s"), (3, None, "s"), (3, "", "s")], key=str)
+    assert jaccard.one_of_each_group(docs.limit(0)).count() == 0
+
+
 def test_tree_overlaps_match_set_arithmetic():
     rng = np.random.default_rng(1)
     base = np.sort(rng.choice(10**6, 60, False)).astype(np.uint64)
@@ -342,32 +392,51 @@ def test_poisson_steps(spark):
     assert np.allclose(np.diff([0, *r])[:4], [np.exp(-2), 2 * np.exp(-2), 2 * np.exp(-2), 4 / 3 * np.exp(-2)]) and abs(r[-1] - 1) < 1e-12
 
 
-def brute_license(text):
+def brute_license(text, templates=licenses.TEMPLATES):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     at = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in licenses.PHRASES.items()}
     labels, best = {x for x in at if at[x]}, 0.5 if any(at.values()) else 0.0
     base = ",".join(sorted(labels))
-    for t in licenses.TEMPLATES:
+    for t in templates:
         for i in range(len(words)):
             if words[i : i + len(t.key_words)] == t.key_words:
-                labels.add(t.label)
                 s = i - t.key_at
-                best = max(best, sum(0 <= s + q < len(words) and words[s + q] == w for q, w in enumerate(t.words)) / len(t.words))
+                share = sum(0 <= s + q < len(words) and words[s + q] == w for q, w in enumerate(t.words)) / len(t.words)
+                if share > 0.8:
+                    labels.add(t.label)
+                    best = max(best, share)
     places = sorted(x for v in at.values() for x in v)
     return len(words), len(places), places[0] if places else None, places[-1] if places else None, base, ",".join(sorted(labels)), best
 
 
 def test_licenses_match_brute_force(spark):
+    whole = {t.label: t.text for t in licenses.TEMPLATES if len(t.words) > 20}
     texts = ["Released under the MIT License.", "x CC BY cc by CC-BY-NC 4.0", "GNU General Public License, version 3", "All rights reserved. All Rights Reserved", "", None, "ccby", "İ cc by K", "mit license license", "\x00cc\x7fby", "Licensed under CC BY-NC 4.0.", "version 2 license general public license", prose(1, 3000) + " all rights reserved", "éall rights reserved"]
+    texts += ["not under the mit license", "This is NOT the MIT license", "under the terms of THE MIT-license", "the mit license " * 50, "licensed under the gnu general public license version 2 or the apache license version 2 0", "publicly licensed, general success"]
+    for label, t in whole.items():
+        words = t.split()
+        texts += [t, "# " + "\n# ".join(words), " ".join(words[3:]), " ".join(words[::2]), " ".join("x" if k % 9 == 0 else w for k, w in enumerate(words)), prose(7, 50) + "\n" + t.upper() + "\n" + prose(8, 30)]
+    texts.append("\n\n".join(whole.values()))  # more licences than rare words are looked up
     docs = spark.createDataFrame([(i, t, "theirs") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
     out = {r["doc_id"]: tuple(r)[2:9] for r in licenses.scan_licenses(docs).collect()}
     for i, t in enumerate(texts):
         assert out[i][:6] == brute_license(t)[:6], t
         assert out[i][6] == pytest.approx(brute_license(t)[6])
+    assert out[0][5] == "mit" and out[14][5] == "" and out[len(texts) - 1][5] == ",".join(sorted({"cc-by", "gpl", "reserved"} & set(out[len(texts) - 1][4].split(",")) | set(whole)))
     assert licenses.scan_licenses(documents(spark)).count() == documents(spark).count()
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_of_own_templates(spark):
+    """What a file must hold follows from the templates given."""
+    own = (licenses.Template("public-domain", "this is free and unencumbered stuff", "free and unencumbered"), licenses.Template("beer", "buy me a beer in return", "a beer"))
+    texts = ["This is FREE and unencumbered stuff, really", "free and unencumbered", "please buy me a beer, in return!", "Released under the MIT License", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs, templates=own).collect()}
+    assert out == {i: brute_license(t, own)[5:] for i, t in enumerate(texts)} and out[0] == ("public-domain", 1.0) and out[2] == ("beer", 1.0)
+    assert {r["labels"] for r in licenses.scan_licenses(docs, templates=()).collect()} == {""}
+
+
 def test_chat_parts_and_mask(spark):
     part = lambda kind, **more: (kind, *(more.get(k) for k in ("text", "ref", "width", "height", "seconds", "pages")))
     rows = [
