@@ -84,12 +84,11 @@ def test_jaccard_join_of_families(spark, monkeypatch, hot, bits):
     assert as_rows(out, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute_components(rows), key=str)
 
 
-@pytest.mark.parametrize("depth", [0, 1])
-def test_jaccard_join_of_common_lines(spark, monkeypatch, depth):
-    """Documents of a few lines from a common pool: every shingle is frequent, few documents link; joined anew, and compared in blocks."""
+@pytest.mark.parametrize("hot", [3, 32])
+def test_jaccard_join_of_common_lines(spark, monkeypatch, hot):
+    """Documents of a few lines from a common pool: every shingle is frequent, few documents link; compared in blocks, and by pairs."""
     monkeypatch.setattr(jaccard, "GROUP", 8)
-    monkeypatch.setattr(jaccard, "HOT", 3)
-    monkeypatch.setattr(jaccard, "DEPTH", depth)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rng = np.random.default_rng(21)
     lines = [" ".join(f"{k}w{j}" for j in range(9)) for k in range(8)]
     rows = [(i, "\n".join(lines[k] for k in rng.choice(8, int(rng.integers(1, 4)), False)) + (f" tail{i % 3}" if i % 2 else "")) for i in range(90)]
