@@ -64,9 +64,8 @@ def words_of(text: Column) -> Column:
 
 def starts(words: Column, phrase: list[str]) -> Column:
     """Where the phrase's words stand consecutively."""
-    n, array = len(phrase), F.array(*(F.lit(w) for w in phrase))
     at = F.filter(F.transform(words, lambda w, i: F.when(w == phrase[0], i)), lambda i: i.isNotNull())
-    return F.filter(at, lambda i: F.slice(words, i + 1, n) == array)
+    return F.filter(at, lambda i: reduce(lambda a, b: a & b, (F.get(words, i + k) == w for k, w in enumerate(phrase))))
 
 
 def may_hold(text: Column, phrases: list[list[str]]) -> Column:
@@ -118,19 +117,20 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
     of = constant([{"label": t.label, "words": t.words, "key": t.key_words, "key_at": t.key_at} for t in templates], "array<struct<label:string,words:array<string>,key:array<string>,key_at:int>>")
 
     words = F.col("_words")
-    some = lambda column, kind: F.when(F.size(words) > 0, column).otherwise(F.array().cast(kind))
-    found = kept.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long"))
+    some = lambda given, column, kind: F.when(F.size(given) > 0, column).otherwise(F.array().cast(kind))
     maybe = may_hold(F.col(text), [*map(template_words, phrases), *(t.key_words for t in templates)])
-    found = found.withColumn("_words", F.when(maybe, words_of(F.col(text))).otherwise(F.array().cast("array<string>")))
+    found = kept.withColumn("_words", words_of(F.col(text))).withColumn("n_words", F.coalesce(F.size("_words"), F.lit(0)).cast("long"))
+    found = found.withColumn("_words", F.when(maybe, words).otherwise(F.array().cast("array<string>")))
 
     present = F.array_intersect(constant(ranked, "array<string>"), words)  # in the order of the first
     looked_up = F.array_union(F.slice(present, 1, rare), F.array_intersect(constant(keys, "array<string>"), words))
+    # _look is named outside of the function too: named once, Spark would put it there in full, for each word anew.
     spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains("_look", s.w))
 
     def has_key(a: Column) -> Column:
         t = F.get(of, a.t)
         at = a.start + t.key_at
-        return (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, F.size(t.key)) == t.key)
+        return F.forall(F.transform(t.key, lambda w, q: F.coalesce(F.get(words, at + q) == w, F.lit(False))), lambda x: x)
 
     def matched(a: Column) -> Column:
         t = F.get(of, a.t)
@@ -139,8 +139,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
 
     began = F.transform("_spots", lambda s: F.filter(F.transform(F.try_element_at(postings, s.w), lambda p: F.struct(p.t.alias("t"), (s.i - p.at).alias("start"))), has_key))
     base = F.array(*(F.struct(F.lit(label).alias("label"), starts(words, template_words(p)).alias("at")) for p, label in phrases.items()))
-    found = found.withColumn("_look", some(looked_up, "array<string>"))
-    found = found.withColumn("_spots", some(spots, "array<struct<w:string,i:int>>"))
+    found = found.withColumn("_look", some("_words", looked_up, "array<string>"))
+    found = found.withColumn("_spots", some("_look", spots, "array<struct<w:string,i:int>>"))
     found = found.withColumn("_began", F.array_distinct(F.flatten(began)))
     found = found.withColumn("matches", F.filter(F.transform("_began", matched), lambda m: m.share > share))
     found = found.withColumn("_base", F.when(F.size(words) > 0, F.filter(base, lambda b: F.size(b.at) > 0)))
