@@ -67,12 +67,20 @@ def has_items(c: Column, is_array: bool) -> Column:
     return F.coalesce(F.size(c) > 0, F.lit(False)) if is_array else c.isNotNull()
 
 
+def entropy_of_list(values: Column) -> Column:
+    """Entropy in bits of a list's values, nulls left out, by runs of the sorted list; null without values."""
+    known = F.sort_array(F.filter(values, lambda x: x.isNotNull()))
+    n = F.size(known).cast("double")
+    weight = lambda run: F.when(run > 1, run * F.log2(run)).otherwise(0.0)
+    state = lambda last, run, total: F.named_struct(F.lit("last"), last, F.lit("run"), run, F.lit("total"), total)
+    start = state(F.get(known, F.lit(0)), F.lit(0.0), F.lit(0.0))
+    step = lambda a, x: state(x, F.when(x == a.last, a.run + 1.0).otherwise(1.0), F.when(x == a.last, a.total).otherwise(a.total + weight(a.run)))
+    return F.when(n > 0, F.log2(n) - F.aggregate(known, start, step, lambda a: a.total + weight(a.run)) / n)
+
+
 def entropy(c: Column) -> Column:
     """Shannon entropy in bits of a text's characters; null for an empty or null text. For short texts, such as log fields."""
-    chars = F.split(c, "")
-    n = F.size(chars).cast("double")
-    weighted = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, x: s + F.size(F.filter(chars, lambda y: y == x)) * F.log2(F.size(F.filter(chars, lambda y: y == x)).cast("double")))
-    return F.when(F.length(c) > 0, F.log2(n) - weighted / n)
+    return F.when(F.length(c) > 0, entropy_of_list(F.split(c, "")))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -14,9 +14,9 @@ from ..operators import splits
 from ..operators.enrich import enrich, with_certificates, within
 from ..operators.features import HISTORY, feature_columns, features
 from ..operators.reduce import certificate_rows, dns_rows, http_rows, ssl_rows
-from ..schema import CIPHERS, CLASSES, CONN_STATES, CURVES, DNS_FEATURES, HTTP_FEATURES, LEAKING_CONN, LOGGED, METHODS, NEXT_PROTOCOLS, NUMERICS, PROTOS, PROXY_PORTS, QTYPES, SERVICES, SOURCE_FEATURES, SSL_FIELDS, SSL_VERSIONS, VPN_PORTS, WEB_PORTS, X509_FEATURES
+from ..schema import CIPHERS, CLASSES, CONN_STATES, CURVES, DNS_FEATURES, HTTP_FEATURES, LOGGED, METHODS, NEXT_PROTOCOLS, NUMERICS, PROTOS, PROXY_PORTS, QTYPES, SERVICES, SOURCE_FEATURES, SSL_FIELDS, SSL_VERSIONS, VPN_PORTS, WEB_PORTS, X509_FEATURES
 from ..session import ship
-from ..sources.logs import combine_classes, detection_messages, read_detections, with_event_time
+from ..sources.logs import combine_classes, detection_messages, read_detections, with_event_time, without_leaks
 from .views import conn, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,8 +149,17 @@ def combined_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(with_views("SELECT uid, class, proto, service, conn_state, history, orig_bytes FROM conn", "conn"))
 def without_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaking identifiers dropped, but for the flow's key."""
-    flows = view(spark, sf_dir, "conn")
-    return flows.drop(*(c for c in LEAKING_CONN if c != "uid")).select("uid", "class", "proto", "service", "conn_state", "history", "orig_bytes")
+    return without_leaks(view(spark, sf_dir, "conn"), "conn").select("uid", "class", "proto", "service", "conn_state", "history", "orig_bytes")
+
+
+@registered(with_views("SELECT * EXCLUDE (ts) FROM ssl_all", "ssl_all"))
+def ssl_without_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_leaks(view(spark, sf_dir, "ssl_all"), "ssl")
+
+
+@registered(with_views("SELECT * EXCLUDE (query, answers, TTLs) FROM dns_all", "dns_all"))
+def dns_without_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_leaks(view(spark, sf_dir, "dns_all"), "dns")
 
 
 @registered("SELECT concat('C', event_id) AS uid, epoch_us(ts) AS event_us FROM events")
@@ -385,7 +394,7 @@ COEFFICIENTS = {
 _USED = sorted({f for w in COEFFICIENTS.values() for f in w if f != "1"})
 _FLAT = {k: v for f in ("derived", "logs", "ports") for k, v in FEATURE_SQL[f].items()}
 _LINEAR = {x: " + ".join(f"{v}e0" if f == "1" else f"{v}e0 * {f}" for f, v in w.items()) for x, w in COEFFICIENTS.items()}
-_SCORED = f"""-- with f AS (SELECT uid, class, {', '.join(f"coalesce({n(_FLAT[c])}, -1.0e0) AS {c}" for c in _USED)} FROM conn),
+SCORED_SQL = f"""-- with f AS (SELECT uid, class, {', '.join(f"coalesce({n(_FLAT[c])}, -1.0e0) AS {c}" for c in _USED)} FROM conn),
 l AS (SELECT uid, class, {', '.join(f'exp({e}) AS p_{x}' for x, e in _LINEAR.items())} FROM f),
 p AS (SELECT uid, class, {', '.join(f"p_{x} / ({' + '.join(f'p_{y}' for y in _LINEAR)}) AS p_{x}" for x in _LINEAR)}, greatest({', '.join(f'p_{x}' for x in _LINEAR)}) / ({' + '.join(f'p_{y}' for y in _LINEAR)}) AS confidence FROM l),
 scored AS (SELECT uid, class, CASE {' '.join(f"WHEN {' AND '.join(f'p_{x} >= p_{y}' for y in _LINEAR if y != x)} THEN '{x}'" for x in _LINEAR)} END AS prediction, confidence, confidence >= 0.9e0 AS is_confident FROM p)"""
@@ -396,12 +405,12 @@ def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.softmax_scores(flows, COEFFICIENTS).select("uid", "class", "prediction", "confidence", "is_confident")
 
 
-@registered(with_views(f"{_SCORED} SELECT uid, prediction, {r('confidence')} AS confidence, is_confident, CASE WHEN is_confident THEN prediction ELSE 'UNCERTAIN' END AS status FROM scored", "conn"))
+@registered(with_views(f"{SCORED_SQL} SELECT uid, prediction, {r('confidence')} AS confidence, is_confident, CASE WHEN is_confident THEN prediction ELSE 'UNCERTAIN' END AS status FROM scored", "conn"))
 def softmax_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.status(scored_flows(spark, sf_dir)).drop("class"))
 
 
-@registered(with_views(f"{_SCORED} SELECT count(*) AS total, CAST(sum(is_confident::INT) AS BIGINT) AS confident, {r('100.0e0 * sum(is_confident::INT) / count(*)')} AS confident_pct, CAST(count(*) - sum(is_confident::INT) AS BIGINT) AS uncertain FROM scored", "conn"))
+@registered(with_views(f"{SCORED_SQL} SELECT count(*) AS total, CAST(sum(is_confident::INT) AS BIGINT) AS confident, {r('100.0e0 * sum(is_confident::INT) / count(*)')} AS confident_pct, CAST(count(*) - sum(is_confident::INT) AS BIGINT) AS uncertain FROM scored", "conn"))
 def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.detection_summary(scored_flows(spark, sf_dir)))
 
@@ -409,12 +418,12 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = f"cells AS (SELECT a.x AS class, b.x AS prediction, count(uid) AS n FROM (SELECT unnest([{listed(sorted(CLASSES))}]) AS x) a CROSS JOIN (SELECT unnest([{listed(sorted(CLASSES))}]) AS x) b LEFT JOIN scored s ON s.class = a.x AND s.prediction = b.x GROUP BY a.x, b.x)"
 
 
-@registered(with_views(f"{_SCORED}, {_CELLS} SELECT * FROM cells", "conn"))
+@registered(with_views(f"{SCORED_SQL}, {_CELLS} SELECT * FROM cells", "conn"))
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.confusion(scored_flows(spark, sf_dir), sorted(CLASSES))
 
 
-_REPORT = f"""{_SCORED}, {_CELLS},
+_REPORT = f"""{SCORED_SQL}, {_CELLS},
 t AS (SELECT class AS entry, sum(n) AS support, sum(n) FILTER (WHERE class = prediction) AS hit FROM cells GROUP BY class),
 s2 AS (SELECT prediction AS entry, sum(n) AS said FROM cells GROUP BY prediction),
 pr AS (SELECT entry, hit, support, CASE WHEN said > 0 THEN hit / said ELSE 0.0e0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0.0e0 END AS recall FROM t JOIN s2 USING (entry)),
@@ -431,12 +440,12 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.classification_report(scored_flows(spark, sf_dir), sorted(CLASSES)))
 
 
-@registered(with_views(f"{_SCORED} SELECT {r('100 * avg(is_confident::INT)')} AS coverage_pct, {r('coalesce(100 * avg((prediction = class)::INT) FILTER (WHERE is_confident), 0)')} AS confident_accuracy_pct, {r('coalesce(100 * avg((prediction = class)::INT) FILTER (WHERE NOT is_confident), 0)')} AS uncertain_accuracy_pct, count(*) FILTER (WHERE NOT is_confident) AS uncertain FROM scored", "conn"))
+@registered(with_views(f"{SCORED_SQL} SELECT {r('100 * avg(is_confident::INT)')} AS coverage_pct, {r('coalesce(100 * avg((prediction = class)::INT) FILTER (WHERE is_confident), 0)')} AS confident_accuracy_pct, {r('coalesce(100 * avg((prediction = class)::INT) FILTER (WHERE NOT is_confident), 0)')} AS uncertain_accuracy_pct, count(*) FILTER (WHERE NOT is_confident) AS uncertain FROM scored", "conn"))
 def threshold_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.threshold_analysis(scored_flows(spark, sf_dir)))
 
 
-@registered(with_views(f"{_SCORED}, m AS (SELECT 'accuracy' AS metric, f.fold, avg((prediction = s.class)::INT) AS value FROM scored s JOIN (SELECT uid, ({_NTH} - 1) % 5 AS fold FROM conn) f USING (uid) GROUP BY f.fold) SELECT metric, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS std FROM m GROUP BY metric", "conn"))
+@registered(with_views(f"{SCORED_SQL}, m AS (SELECT 'accuracy' AS metric, f.fold, avg((prediction = s.class)::INT) AS value FROM scored s JOIN (SELECT uid, ({_NTH} - 1) % 5 AS fold FROM conn) f USING (uid) GROUP BY f.fold) SELECT metric, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS std FROM m GROUP BY metric", "conn"))
 def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy in each fold, its mean and deviation."""
     folded = splits.folds(scored_flows(spark, sf_dir))
@@ -444,13 +453,13 @@ def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.metric_summary(folded.groupBy("fold").agg(F.lit("accuracy").alias("metric"), F.avg(right).alias("value"))))
 
 
-@registered(with_views(f"{_SCORED} SELECT uid, prediction, {r('confidence')} AS confidence FROM scored ORDER BY confidence DESC, uid LIMIT 20", "conn"))
+@registered(with_views(f"{SCORED_SQL} SELECT uid, prediction, {r('confidence')} AS confidence FROM scored ORDER BY confidence DESC, uid LIMIT 20", "conn"))
 def top_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty most confident; the number is the report's."""
     return rounded(ev.top(scored_flows(spark, sf_dir), "confidence", 20, "uid").select("uid", "prediction", "confidence"))
 
 
-@registered(with_views(f"{_SCORED} SELECT uid, prediction AS label, {r('confidence')} AS confidence FROM scored WHERE is_confident", "conn"))
+@registered(with_views(f"{SCORED_SQL} SELECT uid, prediction AS label, {r('confidence')} AS confidence FROM scored WHERE is_confident", "conn"))
 def confident_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections written as keyed JSON, read again, and the confident ones kept."""
     flows = conn(spark, sf_dir).select("uid", F.col("event_time").alias("ts"), F.col("id_orig_h").alias("orig_h"), F.col("id_resp_h").alias("resp_h"))

@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.enrich import within
+from ..operators.evaluate import softmax_scores
+from ..operators.features import features
 from ..operators.reduce import certificate_rows
 from ..session import shared_dir, until_exit
-from ..streaming.flows import DELAYS, drained, flow_concurrency, http_sessions, read_table_stream, stream_flow_features, watermarked, window_concurrency
-from .queries import PANE, r, registered, rounded
+from ..sources.logs import read_detections
+from ..streaming.flows import DELAYS, dns_sessions, drained, flow_concurrency, http_sessions, read_table_stream, stream_flow_features, watermarked, window_concurrency, write_detections
+from .queries import COEFFICIENTS, PANE, SCORED_SQL, r, registered, rounded
 from .views import CONN, DNS, HTTP, K, SSL, view, with_views
 
 
@@ -40,21 +44,26 @@ def stream_window_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("id_orig_h", F.unix_seconds("window.start").alias("window_start"), "src_flow_count", "unique_dest_port_count", "dest_port_entropy"))
 
 
-@registered(with_views(f"""-- with {_SPREAD.replace('id_resp_p,', 'id_resp_p, id_resp_h,')}, stats AS (SELECT id_orig_h, window_start, count(*) AS src_flow_count, count(DISTINCT id_resp_h) AS unique_dest_count, count(DISTINCT id_resp_p) AS unique_dest_port_count FROM spread GROUP BY ALL)
-SELECT c.uid, CAST(epoch(s.window_start) AS BIGINT) AS window_start, src_flow_count, unique_dest_count, unique_dest_port_count
+@registered(with_views(f"""-- with {_SPREAD.replace('id_resp_p,', 'id_resp_p, id_resp_h,')}, stats AS (SELECT id_orig_h, window_start, count(*) AS src_flow_count, count(DISTINCT id_resp_h) AS unique_dest_count, count(DISTINCT id_resp_p) AS unique_dest_port_count, {r('CASE WHEN count(id_resp_p) > 0 THEN entropy(id_resp_p) END')} AS dest_port_entropy FROM spread GROUP BY ALL)
+SELECT c.uid, CAST(epoch(s.window_start) AS BIGINT) AS window_start, src_flow_count, unique_dest_count, unique_dest_port_count, dest_port_entropy
 FROM (SELECT *, {PANE} AS window_start FROM conn) c JOIN stats s USING (id_orig_h, window_start) WHERE s.window_start + INTERVAL 10 MINUTES <= {_CLOSED}""", "conn"))
 def stream_flow_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drained(flow_concurrency(conn_stream(spark, sf_dir)), shared_path(spark, "flows"))
-    return out.select("uid", F.unix_seconds("window_start").alias("window_start"), "src_flow_count", "unique_dest_count", "unique_dest_port_count")
+    return rounded(out.select("uid", F.unix_seconds("window_start").alias("window_start"), "src_flow_count", "unique_dest_count", "unique_dest_port_count", "dest_port_entropy"))
 
 
-_HTTP_ROWS = "SELECT concat('C', l_orderkey) AS uid, l_shipdate AS t, l_quantity AS request, l_suppkey AS host FROM lineitem WHERE l_linestatus = 'O'"
+def _sessions_sql(rows: str, aggregates: str) -> str:
+    """Of rows with uid and t: the aggregates of each session that the last watermark has passed."""
+    return f"""WITH h AS ({rows}), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY uid ORDER BY t) < INTERVAL 5 MINUTES THEN 0 ELSE 1 END AS fresh FROM h),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY t ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+SELECT uid, CAST(epoch(min(t)) AS BIGINT) AS session_start, {aggregates}
+FROM s GROUP BY uid, nth HAVING max(t) + INTERVAL 5 MINUTES <= (SELECT max(t) - INTERVAL 5 MINUTES FROM h)"""
 
 
-@registered(f"""WITH h AS ({_HTTP_ROWS}), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY uid ORDER BY t) < INTERVAL 5 MINUTES THEN 0 ELSE 1 END AS fresh FROM h),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY t ROWS UNBOUNDED PRECEDING) AS nth FROM g)
-SELECT uid, CAST(epoch(min(t)) AS BIGINT) AS session_start, count(request) AS http_request_count, {r('sum(request)')} AS http_total_req_body_len, count(DISTINCT host) AS http_unique_hosts
-FROM s GROUP BY uid, nth HAVING max(t) + INTERVAL 5 MINUTES <= (SELECT max(t) - INTERVAL 5 MINUTES FROM h)""")
+@registered(_sessions_sql(
+    "SELECT concat('C', l_orderkey) AS uid, l_shipdate AS t, l_quantity AS request, l_suppkey AS host FROM lineitem WHERE l_linestatus = 'O'",
+    f"count(request) AS http_request_count, {r('sum(request)')} AS http_total_req_body_len, count(DISTINCT host) AS http_unique_hosts",
+))
 def stream_http_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTTP features of the sessions that have closed."""
     items = read_table_stream(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'")
@@ -66,6 +75,40 @@ def stream_http_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("uid", F.unix_seconds("session.start").alias("session_start"), "http_request_count", "http_total_req_body_len", "http_unique_hosts"))
 
 
+@registered(_sessions_sql(
+    f"SELECT {DNS['uid']} AS uid, l_shipdate AS t, {DNS['rtt']} AS rtt, {DNS['query']} AS query, {DNS['rejected']} AS rejected FROM lineitem WHERE l_linestatus = 'F'",
+    f"count(rtt) AS dns_query_count, {r('avg(rtt)')} AS dns_rtt_mean, max(CASE WHEN rejected = 'T' THEN 1 ELSE 0 END) AS dns_rejected, count(DISTINCT query) AS dns_unique_queries",
+))
+def stream_dns_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DNS features of the sessions that have closed."""
+    items = read_table_stream(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'")
+    dns = items.selectExpr(*(f"{e} AS {n}" for n, e in DNS.items() if n != "class"), "CAST(l_shipdate AS TIMESTAMP) AS event_time")
+    out = drained(dns_sessions(watermarked(dns, "dns")), shared_path(spark, "dns"))
+    return rounded(out.select("uid", F.unix_seconds("session.start").alias("session_start"), "dns_query_count", "dns_rtt_mean", "dns_rejected", "dns_unique_queries"))
+
+
+@registered("SELECT p.event_id, e.event_id AS error_id FROM events p JOIN events e ON p.user_id = e.user_id AND e.ts BETWEEN p.ts - INTERVAL 5 MINUTES AND p.ts + INTERVAL 5 MINUTES WHERE p.event_type = 'purchase' AND e.event_type = 'error'")
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined within an interval, so that state is kept for its length and the watermarks' delay."""
+    events = read_table_stream(spark, sf_dir, "events").withColumn("time", F.col("ts").cast("timestamp"))
+    purchases = watermarked(events.filter("event_type = 'purchase'").select("user_id", "event_id", "time"), "conn", "time")
+    errors = watermarked(events.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("time").alias("error_time")), "conn", "error_time")
+    joined = within(purchases, errors, "user_id", "time", "error_time", "5 MINUTES", "5 MINUTES", "inner")
+    return drained(joined.select("event_id", "error_id"), shared_path(spark, "interval"))
+
+
+@registered(with_views(f"{SCORED_SQL} SELECT uid, prediction AS label, {r('confidence')} AS confidence FROM scored WHERE is_confident", "conn"))
+def stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of a stream scored as they come and written to a sink as keyed JSON; the confident ones, read from there."""
+    rows = features(conn_stream(spark, sf_dir), ("uid", "event_time", "id_orig_h", "id_resp_h"), ("derived", "logs", "ports"))
+    scored = softmax_scores(rows, COEFFICIENTS).select(
+        "uid", F.col("event_time").alias("ts"), F.col("id_orig_h").alias("orig_h"), F.col("id_resp_h").alias("resp_h"), F.col("prediction").alias("label"), "confidence", "is_confident"
+    )
+    path = shared_path(spark, "detections")
+    write_detections(scored, "parquet", f"{path}/state", {"path": f"{path}/sink"}, {"availableNow": True}).awaitTermination()
+    return rounded(read_detections(spark.read.schema("key string, value string").parquet(f"{path}/sink")).select("uid", "label", "confidence"))
+
+
 def log_stream(spark: SparkSession, sf_dir: str, log: str) -> DataFrame:
     """A log's view as a stream whose rows come at the time of their flow."""
     table, key, columns, rows = {

@@ -21,11 +21,10 @@ def softmax_scores(table: DataFrame, coefficients: dict[str, dict[str, float]],
     """table scored by linear terms of features per label; the feature 1 is a constant. Labels stand in alphabetical order."""
     labels = sorted(coefficients)
     linear = [sum((F.lit(w) * (F.lit(1.0) if f == "1" else F.col(f)) for f, w in coefficients[x].items()), F.lit(0.0)) for x in labels]
-    names = [f"_linear_{k}" for k in range(len(labels))]
-    scored = table.select("*", *(e.alias(n) for n, e in zip(names, linear)))
-    scored = scored.withColumn("_best", F.array_max(F.array(*names)))
-    likeliest = F.coalesce(*(F.when(F.col(n) == F.col("_best"), F.lit(x)) for n, x in zip(names, labels)))
-    total = sum((F.exp(F.col(n) - F.col("_best")) for n in names), F.lit(0.0))
+    names = F.array(*(F.lit(x) for x in labels))
+    scored = table.select("*", F.array(*linear).alias("_linear")).withColumn("_best", F.array_max("_linear"))
+    likeliest = F.get(names, F.array_position("_linear", F.col("_best")).cast("int") - 1)
+    total = F.aggregate("_linear", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_best")))
     scored = scored.select(*table.columns, likeliest.alias("prediction"), (1 / total).alias("confidence"))
     return scored.withColumn("is_confident", F.col("confidence") >= threshold)
 
@@ -52,23 +51,24 @@ def confusion(scored: DataFrame, labels: Sequence[str], label: str = "class") ->
 def classification_report(scored: DataFrame, labels: Sequence[str], label: str = "class") -> DataFrame:
     """entry, precision, recall, f1 and support: a row per label, and accuracy, macro avg and weighted avg. Divisions by 0 give 0.
 
-    The rows are counted once: the confusion matrix, a cell for every two labels, is what the report's parts are made of.
+    The rows are counted once: each cell of the confusion matrix goes to its label and to its prediction, and each label's
+    row to its own entry and to the three averages. Nothing runs before the report is asked for.
     """
-    counted = confusion(scored, labels, label)
-    cells = scored.sparkSession.createDataFrame(counted.collect(), counted.schema).coalesce(1)
-    hit = F.sum(F.when(F.col(label) == F.col("prediction"), F.col("n")).otherwise(0))
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    true = cells.groupBy(F.col(label).alias("entry")).agg(hit.alias("hit"), F.sum("n").alias("support"))
-    said = cells.groupBy(F.col("prediction").alias("entry")).agg(F.sum("n").alias("said"))
-    rows = true.join(said, "entry").select("entry", "hit", "support", safe(F.col("hit"), F.col("said")).alias("precision"), safe(F.col("hit"), F.col("support")).alias("recall"))
-    p, r = F.col("precision"), F.col("recall")
-    rows = rows.withColumn("f1", safe(2 * p * r, p + r))
-    each = ("precision", "recall", "f1")
-    n = F.sum("support")
-    macro = rows.agg(F.lit("macro avg").alias("entry"), *(F.avg(c).alias(c) for c in each), n.alias("support"))
-    weighted = rows.agg(F.lit("weighted avg").alias("entry"), *(safe(F.sum(F.col(c) * F.col("support")), n).alias(c) for c in each), n.alias("support"))
-    accuracy = rows.agg(F.lit("accuracy").alias("entry"), *(safe(F.sum("hit"), n).alias(c) for c in each), n.alias("support"))
-    return rows.select("entry", *each, "support").unionByName(accuracy).unionByName(macro).unionByName(weighted)
+    c, n = F.col, F.col("n")
+    cells = confusion(scored, labels, label).select(n, (c(label) == c("prediction")).alias("right"), F.posexplode(F.array(label, "prediction")).alias("said", "entry"))
+    of_label = cells.groupBy("entry").agg(
+        F.sum(F.when((c("said") == 0) & c("right"), n).otherwise(0)).alias("hit"),
+        F.sum(F.when(c("said") == 0, n).otherwise(0)).alias("support"),
+        F.sum(F.when(c("said") == 1, n).otherwise(0)).alias("predicted"),
+    )
+    rows = of_label.select("entry", "hit", "support", safe(c("hit"), c("predicted")).alias("precision"), safe(c("hit"), c("support")).alias("recall"))
+    rows = rows.withColumn("f1", safe(2 * c("precision") * c("recall"), c("precision") + c("recall")))
+    averages = ("accuracy", "macro avg", "weighted avg")
+    kinds = F.posexplode(F.array("entry", *(F.lit(a) for a in averages))).alias("kind", "name")
+    parts = rows.select("*", kinds).groupBy("kind", "name").agg(F.sum("hit").alias("hit"), F.sum("support").alias("support"), *(e for m in ("precision", "recall", "f1") for e in (F.avg(m).alias(m), F.sum(c(m) * c("support")).alias(f"_{m}"))))
+    of_kind = lambda m: F.when(c("kind") == 1, safe(c("hit"), c("support"))).when(c("kind") == 3, safe(c(f"_{m}"), c("support"))).otherwise(c(m)).alias(m)
+    return parts.select(c("name").alias("entry"), *map(of_kind, ("precision", "recall", "f1")), "support")
 
 
 def threshold_analysis(scored: DataFrame, label: str = "class") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,14 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row per key, the first by order, then by all other columns that can be ordered, so that no tie is left to chance."""
-    rest = [c for c, f in zip(df.columns, df.schema.fields) if c not in keys and not isinstance(f.dataType, T.MapType)]
-    window = Window.partitionBy(*keys).orderBy(*order, *rest)
-    return df.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
+    """One row per key, the first by order, then by all other columns that can be ordered, so that no tie is left to chance; nulls are first.
+
+    An aggregate, so that each task keeps a row per key before the shuffle, however many rows a key has.
+    """
+    others = [f for f in df.schema.fields if f.name not in keys]
+    ranked = F.struct(*order, *(f.name for f in others if not isinstance(f.dataType, T.MapType)))
+    first = F.min_by(F.struct(*(f.name for f in others)), ranked).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 
 
 def is_array(df: DataFrame, column: str) -> bool:

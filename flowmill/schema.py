@@ -38,6 +38,8 @@ PROXY_PORTS = (1080, 3128, 8080, 8888, 9050, 9150)
 WEB_PORTS = (80, 443, 8443)
 LEAKING_CONN = ("ts", "uid", "id_orig_h", "id_orig_p", "id_resp_h", "id_resp_p", "tunnel_parents", "orig_l2_addr", "resp_l2_addr")
 LEAKING_SSL = ("ts", "uid", "id_orig_h", "id_orig_p", "id_resp_h", "id_resp_p", "last_alert", "cert_chain_fps", "client_cert_chain_fps", "subject", "issuer", "validation_status", "orig_l2_addr", "resp_l2_addr")
+LEAKING_DNS = ("ts", "uid", "id_orig_h", "id_orig_p", "id_resp_h", "id_resp_p", "proto", "trans_id", "query", "qclass", "qclass_name", "answers", "TTLs", "orig_l2_addr", "resp_l2_addr")
+LEAKING = {"conn": LEAKING_CONN, "ssl": LEAKING_SSL, "dns": LEAKING_DNS}
 
 HTTP_FEATURES = (
     "http_request_count", "http_avg_req_body_len", "http_total_req_body_len", "http_avg_resp_body_len", "http_total_resp_body_len",

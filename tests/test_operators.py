@@ -140,3 +140,23 @@ def test_model_round_trip(spark, tmp_path):
     assert models.score(rows, loaded).filter("prediction <> class").count() == 0
     best, table = models.grid_search(rows, ["f"], [{"numTrees": 2, "maxDepth": 1}, {"numTrees": 3, "maxDepth": 1}], 2)
     assert best["numTrees"] == 2 and table.count() == 8
+
+
+def test_boosted_trees_and_a_training_run(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i}", "abc"[i % 3], float(i % 3), float(i % 7)) for i in range(90)], "uid string, class string, f double, g double")
+    model = models.train(rows, ["f", "g"], boosted=True, maxIter=3, maxDepth=2)
+    found = models.score(rows, model).collect()
+    assert all(r["prediction"] == r["class"] and 1 / 3 < r["confidence"] <= 1 for r in found)
+    path = str(tmp_path / "run")
+    report = {r["entry"]: r for r in models.train_run(rows, ["f", "g"], [{"numTrees": 2, "maxDepth": 1}, {"numTrees": 3, "maxDepth": 3}], path, k=2, most=60).collect()}
+    assert set(report) == {"a", "b", "c", "accuracy", "macro avg", "weighted avg"} and report["accuracy"]["support"] == 18 and report["macro avg"]["f1"] == 1.0
+    assert models.load(path, spark)[1:] == (["f", "g"], ["a", "b", "c"])
+    assert spark.read.json(f"{path}/grid").count() == 8 and {r["fold"] for r in spark.read.json(f"{path}/folds").collect()} == {0, 1}
+
+
+def test_places_of_null_keys_and_labels(spark):
+    rows = spark.createDataFrame([(None, "a", "theirs"), ("u", "a", "theirs"), ("v", None, "theirs"), (None, "a", "theirs")], "uid string, class string, other string")
+    out = splits.folds(rows, k=2)
+    assert out.columns == [*rows.columns, "fold"] and sorted((r["uid"] or "", r["fold"]) for r in out.collect()) == [("", 0), ("", 1), ("u", 0)]
+    order = [r["uid"] for r in splits.shuffled(rows.dropna(), seed=1).collect()]
+    assert order == ["u"] and splits.folds(rows.limit(0)).count() == 0

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from flowmill.jobs import model_queries, stream_queries  # noqa: F401
+from flowmill.jobs import batch_queries, model_queries, stream_queries  # noqa: F401
 from flowmill.jobs.queries import QUERIES, SQL
 
 

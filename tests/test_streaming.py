@@ -70,7 +70,7 @@ def test_certificate_table(spark, tmp_path):
 def test_scored_detections_reach_the_sink(spark, tmp_path):
     write(tmp_path / "conn", [row("u", 0, duration=1.0), row("v", 1)])
     stream = read_file_log(spark, str(tmp_path / "conn"), "conn", "5 minutes")
-    scored = flows.scored(stream, lambda df: df.select("uid", F.lit("vpn").alias("label"), (F.col("duration") > 0).alias("is_confident")))
+    scored = stream.select("uid", F.lit("vpn").alias("label"), (F.col("duration") > 0).alias("is_confident"))
     flows.write_detections(scored, "json", str(tmp_path / "state"), {"path": str(tmp_path / "sink")}, {"availableNow": True}).awaitTermination()
     rows = spark.read.json(str(tmp_path / "sink")).collect()
     assert {r["key"]: json.loads(r["value"])["label"] for r in rows} == {"u": "vpn", "v": "vpn"}
