@@ -30,6 +30,16 @@ def test_source_statistics_sum_before_each_shuffle(spark, sf_dir):
     assert text.count("partial_count(1)") == 1 and text.count("partial_sum(") >= 1
 
 
+def test_first_rows_are_chosen_before_the_shuffle(spark, sf_dir):
+    text = plan(queries.QUERIES["certificate_features"](spark, sf_dir))
+    assert "partial_min_by" in text and "Window" not in text
+
+
+def test_places_in_a_class_are_ranked_by_part(spark, sf_dir):
+    text = plan(queries.QUERIES["stratified_folds"](spark, sf_dir))
+    assert re.search(r"row_number\(\) windowspecdefinition\(class#\d+, _part#\d+", text)
+
+
 def test_flows_are_joined_without_a_python_copy_or_cross_join(spark, sf_dir):
     text = plan(queries.QUERIES["enriched_flows"](spark, sf_dir))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
