@@ -41,11 +41,11 @@ def detection_summary(scored: DataFrame) -> DataFrame:
 
 
 def confusion(scored: DataFrame, labels: Sequence[str], label: str = "class") -> DataFrame:
-    """label, prediction and n for every two labels, 0 included."""
-    spark = scored.sparkSession
-    cells = spark.createDataFrame([(a, b) for a in labels for b in labels], f"{label} string, prediction string")
-    counts = scored.groupBy(label, "prediction").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(cells).join(counts, [label, "prediction"], "left").select(label, "prediction", F.coalesce("n", F.lit(0)).alias("n"))
+    """label, prediction and n for every two labels, 0 included: an empty row for each is counted along as 0."""
+    names = F.array(*(F.lit(x) for x in labels))
+    cells = scored.sparkSession.range(1).select(F.explode(names).alias(label)).select(label, F.explode(names).alias("prediction"), F.lit(0).cast("long").alias("n"))
+    rows = scored.select(label, "prediction", F.lit(1).cast("long").alias("n")).filter(F.col(label).isin(*labels) & F.col("prediction").isin(*labels))
+    return rows.unionByName(cells).groupBy(label, "prediction").agg(F.sum("n").alias("n"))
 
 
 def classification_report(scored: DataFrame, labels: Sequence[str], label: str = "class") -> DataFrame:
