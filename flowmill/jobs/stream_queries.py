@@ -11,6 +11,7 @@ from ..operators.enrich import within
 from ..operators.evaluate import softmax_scores
 from ..operators.features import features
 from ..operators.reduce import certificate_rows
+from ..schema import SOURCE_FEATURES
 from ..session import shared_dir, until_exit
 from ..sources.logs import read_detections
 from ..streaming.flows import DELAYS, dns_sessions, drained, flow_concurrency, http_sessions, read_table_stream, stream_flow_features, watermarked, window_concurrency, write_detections
@@ -32,24 +33,25 @@ def conn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What the last watermark has passed: a window that ends by then has come out.
 _CLOSED = f"(SELECT max(ts) - INTERVAL {DELAYS['conn'].upper()} FROM conn)"
-_SPREAD = f"spread AS (SELECT id_orig_h, id_resp_p, unnest([{PANE}, {PANE} - INTERVAL 5 MINUTES]) AS window_start FROM conn)"
+#: Counters of each source and window.
+_STATS = f"""spread AS (SELECT id_orig_h, id_resp_p, id_resp_h, unnest([{PANE}, {PANE} - INTERVAL 5 MINUTES]) AS window_start FROM conn),
+stats AS (SELECT id_orig_h, window_start, count(*) AS src_flow_count, count(DISTINCT id_resp_h) AS unique_dest_count, count(DISTINCT id_resp_p) AS unique_dest_port_count,
+  {r('CASE WHEN count(id_resp_p) > 0 THEN entropy(id_resp_p) END')} AS dest_port_entropy FROM spread WHERE window_start + INTERVAL 10 MINUTES <= {_CLOSED} GROUP BY ALL)"""
 
 
-@registered(with_views(f"""-- with {_SPREAD}, ports AS (SELECT id_orig_h, window_start, id_resp_p, count(*) AS n FROM spread WHERE window_start + INTERVAL 10 MINUTES <= {_CLOSED} GROUP BY ALL)
-SELECT id_orig_h, CAST(epoch(window_start) AS BIGINT) AS window_start, CAST(sum(n) AS BIGINT) AS src_flow_count, count(id_resp_p) AS unique_dest_port_count,
-  {r('CASE WHEN count(id_resp_p) > 0 THEN log2(sum(n) FILTER (WHERE id_resp_p IS NOT NULL)) - sum(n * log2(n)) FILTER (WHERE id_resp_p IS NOT NULL) / sum(n) FILTER (WHERE id_resp_p IS NOT NULL) END')} AS dest_port_entropy
-FROM ports GROUP BY id_orig_h, window_start""", "conn"))
+@registered(with_views(f"""-- with {_STATS}
+SELECT id_orig_h, CAST(epoch(window_start) AS BIGINT) AS window_start, src_flow_count, unique_dest_count, unique_dest_port_count, dest_port_entropy FROM stats""", "conn"))
 def stream_window_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drained(window_concurrency(conn_stream(spark, sf_dir)), shared_path(spark, "windows"))
-    return rounded(out.select("id_orig_h", F.unix_seconds("window.start").alias("window_start"), "src_flow_count", "unique_dest_port_count", "dest_port_entropy"))
+    return rounded(out.select("id_orig_h", F.unix_seconds("window.start").alias("window_start"), *SOURCE_FEATURES))
 
 
-@registered(with_views(f"""-- with {_SPREAD.replace('id_resp_p,', 'id_resp_p, id_resp_h,')}, stats AS (SELECT id_orig_h, window_start, count(*) AS src_flow_count, count(DISTINCT id_resp_h) AS unique_dest_count, count(DISTINCT id_resp_p) AS unique_dest_port_count, {r('CASE WHEN count(id_resp_p) > 0 THEN entropy(id_resp_p) END')} AS dest_port_entropy FROM spread GROUP BY ALL)
+@registered(with_views(f"""-- with {_STATS}
 SELECT c.uid, CAST(epoch(s.window_start) AS BIGINT) AS window_start, src_flow_count, unique_dest_count, unique_dest_port_count, dest_port_entropy
-FROM (SELECT *, {PANE} AS window_start FROM conn) c JOIN stats s USING (id_orig_h, window_start) WHERE s.window_start + INTERVAL 10 MINUTES <= {_CLOSED}""", "conn"))
+FROM (SELECT *, {PANE} AS window_start FROM conn) c JOIN stats s USING (id_orig_h, window_start)""", "conn"))
 def stream_flow_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drained(flow_concurrency(conn_stream(spark, sf_dir)), shared_path(spark, "flows"))
-    return rounded(out.select("uid", F.unix_seconds("window_start").alias("window_start"), "src_flow_count", "unique_dest_count", "unique_dest_port_count", "dest_port_entropy"))
+    return rounded(out.select("uid", F.unix_seconds("window_start").alias("window_start"), *SOURCE_FEATURES))
 
 
 def _sessions_sql(rows: str, aggregates: str) -> str:

@@ -100,3 +100,13 @@ def test_streamed_features_match_the_batch(spark, sf_dir):
     assert {u for u, t in times.items() if t < max(times.values()) - timedelta(days=2)} <= set(got)
     assert all(got[u] == expected[u] for u in got)
     assert all(any(r[c] > 0 for r in got.values()) for c in ("http_avg_ua_len", "dns_qtype_A", "x509_key_length", "dest_port_entropy"))
+
+
+def test_flows_of_one_source_are_not_held_together(spark):
+    rows = [(f"u{i}" if i % 9 else None, "a" if i % 5 else None, f"h{i % 7}" if i % 3 else None, i % 4 if i % 2 else None, 37 * i) for i in range(200)]
+    table = spark.createDataFrame(rows, "uid string, id_orig_h string, id_resp_h string, id_resp_p int, s long").withColumn("event_time", F.timestamp_seconds("s"))
+    streamed = flows.flow_concurrency(table)
+    assert "collect_" not in streamed._jdf.queryExecution().optimizedPlan().toString()
+    twin = rounded(flow_windows(table).dropna(subset=["id_orig_h"])).select(streamed.columns)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(rounded(streamed).collect(), key=key) == sorted(twin.collect(), key=key) and streamed.count() == sum(r[1] is not None for r in rows)
