@@ -43,9 +43,10 @@ def detection_summary(scored: DataFrame) -> DataFrame:
 def confusion(scored: DataFrame, labels: Sequence[str], label: str = "class") -> DataFrame:
     """label, prediction and n for every two labels, 0 included: an empty row for each is counted along as 0."""
     names = F.array(*(F.lit(x) for x in labels))
-    cells = scored.sparkSession.range(1).select(F.explode(names).alias(label)).select(label, F.explode(names).alias("prediction"), F.lit(0).cast("long").alias("n"))
-    rows = scored.select(label, "prediction", F.lit(1).cast("long").alias("n")).filter(F.col(label).isin(*labels) & F.col("prediction").isin(*labels))
-    return rows.unionByName(cells).groupBy(label, "prediction").agg(F.sum("n").alias("n"))
+    cells = scored.sparkSession.range(1).select(F.explode(names).alias(label)).select(label, F.explode(names).alias("prediction"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("_cell"))
+    rows = scored.select(label, "prediction", F.lit(1).cast("long").alias("n"), F.lit(0).alias("_cell"))
+    counts = rows.unionByName(cells).groupBy(label, "prediction").agg(F.sum("n").alias("n"), F.max("_cell").alias("_cell"))
+    return counts.filter("_cell = 1").drop("_cell")  # a filter of predictions would be pushed below the scores and compute them again
 
 
 def classification_report(scored: DataFrame, labels: Sequence[str], label: str = "class") -> DataFrame:
