@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +11,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from flowmill.llm import bpe
+from flowmill.llm import bpe, language, quality
+from flowmill.llm.common import mix64
 from flowmill.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_text_operators import brute_components
@@ -50,6 +52,101 @@ def test_bpe_query(spark, sf_dir):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
 
 
+def grams_of(text):
+    """Hashed 1-, 2- and 3-grams, counted one by one."""
+    runs, out = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ", Counter()
+    runs = re.sub(" +", " ", runs)
+    for n in (1, 2, 3):
+        for k in range(len(runs) - n + 1):
+            code = 0
+            for c in runs[k : k + n]:
+                code = code * 0x110000 + ord(c)
+            out[int(mix64(np.array([(code + (n << 62)) % (1 << 64)], np.uint64))[0] >> np.uint64(52))] += 1
+    return out
+
+
+def test_language_query(spark, sf_dir):
+    """Every row's nearest centroid and cosine, and the weights of n-grams, by loops over single texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs}
+    learned = [r for r in docs if not held[r["doc_id"]] and r["lang"] and r["text"] is not None]
+    model = language.fit_languages(spark.createDataFrame([(r["text"], r["lang"]) for r in learned], "text string, lang string"))
+    grams = {r["text"]: grams_of(r["text"]) for r in [*learned, *docs] if r["text"] is not None}
+    seen = Counter(g for r in learned for g in grams[r["text"]])
+    assert np.allclose(model.idf, [np.log((1 + len(learned)) / (1 + seen[g])) + 1 for g in range(language.BUCKETS)])
+    out = {r["doc_id"]: r for r in QUERIES["op4_language_id"](spark, sf_dir).collect()}
+    assert set(out) == set(held) and all(r["held_out"] == held[i] for i, r in out.items())
+    for r in docs:
+        got = out[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+            continue
+        weight = {g: np.log1p(n) * model.idf[g] for g, n in grams[r["text"]].items()}
+        size = sum(w * w for w in weight.values()) ** 0.5
+        cosines = [sum(w * c[g] for g, w in weight.items()) / size for c in model.centroids]
+        assert abs(got["score"] - max(cosines)) < 1e-4
+        assert any(name == got["lang_pred"] and c > max(cosines) - 1e-4 for name, c in zip(model.languages, cosines))
+
+
+def statistics_of(text):
+    """The statistics of one text, by regular expressions over its bytes."""
+    data = text.encode()
+    count = lambda pattern: len(re.findall(pattern, data))
+    size, words, lines = max(len(data), 1), text.split(), text.split("\n")
+    upper, wide = count(rb"[A-Z]"), count(rb"[\x80-\xff]")
+    letters, n = max(count(rb"[a-z]") + upper + wide, 1), max(len(words), 1)
+    symbols = count(rb"[^a-zA-Z0-9 \t\r\v\f\n.,;:'\"()?|\x80-\xff-]")
+    ends = len(re.findall(rb"[^a-zA-Z0-9 \t\r\v\f\n.,;:'\"()?\x80-\xff-](?=[ \t\r\v\f\n]|\Z)", data))
+    return [
+        np.log1p(size), (upper / letters) ** 0.5, (count(rb"[0-9]") / size) ** 0.5, (symbols / size) ** 0.5, (count(rb"[-.,;:'\"()?]") / size) ** 0.5, (count(rb"[|]") / size) ** 0.5,
+        np.log1p(size / n), np.log1p(size / (count(rb"\n") + 1)), (wide / size) ** 0.5, max(len(set(words)), 1) / n**0.9, (1 - len(set(lines)) / len(lines)) ** 0.5, (ends / n) ** 0.5,
+    ]
+
+
+def test_quality_query(spark, sf_dir):
+    """Every score from statistics and covariances that are computed row by row, and densities by plain inverses."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    x = {i: np.array(statistics_of(t)) for i, t in texts.items()}
+    known = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["quality"] is not None and not held.get(r["doc_id"], True)]
+    of_class = [np.stack([x[i] for i, q in known if q == c]) for c in (0, 1)]
+    n = [len(c) for c in of_class]
+    prior = (n[1] + 1) / (sum(n) + 2)
+    covs = [np.cov(c.T, bias=True) for c in of_class]
+    pooled = np.diag(np.diag((n[0] * covs[0] + n[1] * covs[1]) / sum(n)))
+    covs = [0.9 * c + 0.1 * pooled + np.eye(len(quality.NAMES)) * (1e-3 * np.trace(pooled) / len(quality.NAMES) + 1e-9) for c in covs]
+
+    def density(v, c):
+        away = v - of_class[c].mean(0)
+        return -away @ np.linalg.inv(covs[c]) @ away / 2 - np.linalg.slogdet(covs[c])[1] / 2
+
+    out = {r["doc_id"]: r for r in QUERIES["op7_quality"](spark, sf_dir).collect()}
+    assert set(out) == set(texts) and all(r["held_out"] == held[i] for i, r in out.items())
+    for i, r in out.items():
+        odds = np.log(prior / (1 - prior)) + density(x[i], 1) - density(x[i], 0)
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(odds, -500, 500)))) < 1e-5 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_embedding_query(spark, tmp_path):
+    """Pairs planted at cosines from 0.86 to 0.99 among unrelated vectors, in the table that the query reads: none below 0.9, nine of ten above."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(300, 256)))
+    noise = rng.normal(size=a.shape)
+    noise = unit(noise - (noise * a).sum(1, keepdims=True) * a)
+    cosine = rng.uniform(0.86, 0.99, (300, 1))
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * noise, unit(rng.normal(size=(400, 256)))]).astype(np.float32)
+    rows = [(i, v.tolist(), i % 7) for i, v in enumerate(x)] + [(1000, None, 1), (1001, [0.0] * 256, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {r["vec_id"]: r for r in QUERIES["op5_embedding_near_duplicates"](spark, str(tmp_path)).collect()}
+    y = unit(x.astype(np.float64))
+    pairs = {(i, j) for i, j in zip(*np.nonzero(np.triu(y @ y.T >= 0.9, 1)))}
+    assert set(out) == {r[0] for r in rows} and len(pairs) > 200 and all(j == i + 300 for i, j in pairs)
+    found = {(r["component_id"], i) for i, r in out.items() if r["component_id"] != i}
+    assert found <= pairs and len(found) >= 0.9 * len(pairs)
+    assert all(r["n_links"] == sum(i in p for p in found) and r["kept"] == (r["component_id"] == i) for i, r in out.items())
+
+
 def test_shard_query(spark, sf_dir):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = QUERIES["op3_shard_documents"](spark, sf_dir).collect()
