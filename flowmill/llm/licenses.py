@@ -49,6 +49,8 @@ TEMPLATES = (
 )
 #: A file's licence words that are looked up in the index, the rarest first; a match has more than this share of its template's words in place.
 RARE, SHARE = 8, 0.8
+#: Words of a template, at most.
+LONGEST = 1 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OWN = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
 
@@ -105,6 +107,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
     is no shuffle of files: rows stay where they are read. A template of few words must stand whole (of five words, each).
     """
     kept = docs.drop(*OWN, "_words", "_base", "_look", "_spots", "_began")
+    if any(len(t.words) > LONGEST for t in templates):
+        raise ValueError(f"a template of more than {LONGEST} words")
     vocabulary = sorted({w for t in templates for w in t.words})
     df = document_frequency(docs.select(words_of(F.col(text)).alias("_words")), vocabulary) if vocabulary else {}
     ranked = sorted(vocabulary, key=lambda w: (df[w], w))
@@ -137,11 +141,16 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
         same = F.filter(F.transform(t.words, lambda w, q: F.coalesce(F.get(words, a.start + q) == w, F.lit(False))), lambda x: x)
         return F.struct(t.label.alias("label"), a.start.alias("start"), (F.size(same) / F.size(t.words)).alias("share"))
 
-    began = F.transform("_spots", lambda s: F.filter(F.transform(F.try_element_at(postings, s.w), lambda p: F.struct(p.t.alias("t"), (s.i - p.at).alias("start"))), has_key))
+    # A template and where it begins, as one number: Spark tells equal numbers apart by hashing, but structs by comparing each two.
+    began = F.transform("_spots", lambda s: F.transform(
+        F.filter(F.transform(F.try_element_at(postings, s.w), lambda p: F.struct(p.t.alias("t"), (s.i - p.at).alias("start"))), has_key),
+        lambda a: a.t.cast("long") * (1 << 33) + a.start + LONGEST,
+    ))
+    parted = lambda x: F.struct(F.shiftright(x, 33).cast("int").alias("t"), (x.bitwiseAND((1 << 33) - 1) - LONGEST).cast("int").alias("start"))
     base = F.array(*(F.struct(F.lit(label).alias("label"), starts(words, template_words(p)).alias("at")) for p, label in phrases.items()))
     found = found.withColumn("_look", some("_words", looked_up, "array<string>"))
     found = found.withColumn("_spots", some("_look", spots, "array<struct<w:string,i:int>>"))
-    found = found.withColumn("_began", F.array_distinct(F.flatten(began)))
+    found = found.withColumn("_began", F.transform(F.array_distinct(F.flatten(began)), parted))
     found = found.withColumn("matches", F.filter(F.transform("_began", matched), lambda m: m.share > share))
     found = found.withColumn("_base", F.when(F.size(words) > 0, F.filter(base, lambda b: F.size(b.at) > 0)))
     none = F.array().cast("array<string>")

@@ -426,6 +426,14 @@ def test_licenses_match_brute_force(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_of_very_long_texts(spark):
+    """A phrase that stands very often, a long word, and many other words: the work grows with the text, not with its square."""
+    n = 20_000
+    texts = ["mit license " * n, "x" * 5_000_000, prose(7, 300_000) + " all rights reserved"]
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r["n_words"] for r in out] == [2 * n, 1, 300_003] and out[2]["first_word"] == 300_000 and out[2]["labels"] == "reserved" and out[1]["labels"] == ""
+
+
 def test_licenses_of_own_templates(spark):
     """What a file must hold follows from the templates given."""
     own = (licenses.Template("public-domain", "this is free and unencumbered stuff", "free and unencumbered"), licenses.Template("beer", "buy me a beer in return", "a beer"))
