@@ -12,11 +12,11 @@ from ..operators import concurrency as conc
 from ..operators import evaluate as ev
 from ..operators import splits
 from ..operators.enrich import enrich, with_certificates, within
-from ..operators.features import HISTORY, feature_columns, features
+from ..operators.features import HISTORY, feature_columns, features, labelled
 from ..operators.reduce import certificate_rows, dns_rows, http_rows, ssl_rows
 from ..schema import CIPHERS, CLASSES, CONN_STATES, CURVES, DNS_FEATURES, HTTP_FEATURES, LOGGED, METHODS, NEXT_PROTOCOLS, NUMERICS, PROTOS, PROXY_PORTS, QTYPES, SERVICES, SOURCE_FEATURES, SSL_FIELDS, SSL_VERSIONS, VPN_PORTS, WEB_PORTS, X509_FEATURES
 from ..session import ship
-from ..sources.logs import combine_classes, detection_messages, read_detections, with_event_time, without_leaks
+from ..sources.logs import combine_classes, detection_messages, observed, read_detections, with_event_time, without_leaks
 from .views import conn, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,3 +466,47 @@ def confident_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scored_flows(spark, sf_dir).select("uid", F.col("prediction").alias("label"), "confidence", "is_confident")
     read = read_detections(detection_messages(flows.join(scored, "uid")))
     return rounded(read.select("uid", "label", "confidence"))
+
+
+# Previews, counts without a pass, sketches.
+_ENDS = "CASE WHEN s.is_confident THEN prediction ELSE 'UNCERTAIN' END AS status"
+
+
+def _ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored flows with the names of both ends."""
+    flows = view(spark, sf_dir, "conn").select("uid", F.col("id_orig_h").alias("orig_h"), F.col("id_resp_h").alias("resp_h"))
+    return scored_flows(spark, sf_dir).drop("class").join(flows, "uid")
+
+
+@registered(with_views(f"{SCORED_SQL} SELECT uid, prediction, {r('confidence')} AS confidence, is_confident, {_ENDS} FROM scored s ORDER BY uid LIMIT 20", "conn"))
+def detections_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty flows with their status; the number is the report's."""
+    return rounded(ev.preview(scored_flows(spark, sf_dir).drop("class")))
+
+
+@registered(with_views(f"{SCORED_SQL} SELECT s.uid, '[' || prediction || '] ' || id_orig_h || ' -> ' || id_resp_h || ' (' || printf('%.1f%%', round(confidence * 100, 1)) || ')' AS line FROM scored s JOIN conn USING (uid) WHERE is_confident", "conn"))
+def confident_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confident detections as lines of text."""
+    return ev.lines(_ended(spark, sf_dir).filter("is_confident"))
+
+
+@registered(with_views(f"SELECT label, {', '.join(f'{r(f'coalesce({n(e)}, -1.0e0)')} AS {name}' for name, e in FEATURE_SQL['ports'].items())} FROM (SELECT *, class AS label FROM conn)", "conn"))
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with the label under its own name and without the flow's key."""
+    return rounded(labelled(features(view(spark, sf_dir, "conn"), families=("ports",))))
+
+
+@registered(with_views("SELECT 'read' AS stage, class, count(*) AS n FROM conn GROUP BY class UNION ALL SELECT 'known service', class, count(*) FROM conn WHERE service IS NOT NULL GROUP BY class", "conn"))
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each class at two stages of a job, counted by the job's own pass."""
+    flows, read = observed(view(spark, sf_dir, "conn"), "read", CLASSES)
+    known, kept = observed(flows.filter("service IS NOT NULL"), "known service", CLASSES)
+    known.write.format("noop").mode("overwrite").save()
+    rows = [(stage, c, int(seen.get[f"rows_{c}"])) for stage, seen in (("read", read), ("known service", kept)) for c in CLASSES]
+    return spark.createDataFrame([row for row in rows if row[2]], "stage string, class string, n long")
+
+
+@registered(with_views(f"-- with {WINDOWS_SQL} SELECT id_orig_h, CAST(epoch(window_start) AS BIGINT) AS window_start, src_flow_count, unique_dest_count, unique_dest_port_count FROM stats", "conn"))
+def window_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of sliding windows with distinct counts by sketches, which are exact for counts as small as these."""
+    return conc.window_sketches(conn(spark, sf_dir)).withColumn("window_start", seconds("window_start"))

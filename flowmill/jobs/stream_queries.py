@@ -7,16 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.enrich import within
+from ..operators.boosting import Settings, fit_boosted, save_boosted
+from ..operators.concurrency import flow_windows
+from ..operators.enrich import enrich, within
 from ..operators.evaluate import softmax_scores
-from ..operators.features import features
+from ..operators.features import feature_names, features
 from ..operators.reduce import certificate_rows
-from ..schema import SOURCE_FEATURES
-from ..session import shared_dir, until_exit
+from ..schema import DETECTION, SOURCE_FEATURES, X509_FEATURES, struct
+from ..session import shared_dir, ship, until_exit
 from ..sources.logs import read_detections
-from ..streaming.flows import DELAYS, dns_sessions, drained, flow_concurrency, http_sessions, read_table_stream, stream_flow_features, watermarked, window_concurrency, write_detections
-from .queries import COEFFICIENTS, PANE, SCORED_SQL, r, registered, rounded
-from .views import CONN, DNS, HTTP, K, SSL, view, with_views
+from ..streaming.dimension import read_dimension
+from ..streaming.flows import DELAYS, dns_sessions, drained, enriched_sessions, flow_concurrency, http_sessions, read_table_stream, stream_flow_features, watermarked, window_concurrency, with_flow_concurrency, write_detections
+from ..streaming.job import CERTIFICATE, keep_certificates, write_model_detections
+from .queries import CERT_ROWS, COEFFICIENTS, PANE, SCORED_SQL, r, registered, rounded
+from .views import CONN, DNS, HTTP, K, SSL, conn, view, with_views
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -130,3 +134,46 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     certificates = certificate_rows(view(spark, sf_dir, "x509"))
     logs = [conn_stream(spark, sf_dir), *(log_stream(spark, sf_dir, log) for log in ("ssl", "http", "dns"))]
     return rounded(drained(stream_flow_features(*logs, certificates), shared_path(spark, "features")), 5)
+
+
+#: Files that the certificates' stream reads, one in each micro-batch.
+FILES = 4
+
+
+def certificate_table(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The certificates' view, dealt to files, run through a stream that keeps each one's first row at path."""
+    rows = shared_path(spark, "x509")
+    view(spark, sf_dir, "x509").withColumn("ts", F.col("ts").cast("double")).repartition(FILES).write.parquet(f"{rows}/rows")
+    schema = spark.read.parquet(f"{rows}/rows").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{rows}/rows")
+    keep_certificates(stream, path, f"{rows}/state", {"availableNow": True}).awaitTermination()
+
+
+@registered(with_views(CERT_ROWS, "x509"))
+def stream_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each certificate's first row, from a table that micro-batches have written part by part."""
+    path = shared_path(spark, "certificates")
+    certificate_table(spark, sf_dir, path)
+    return rounded(read_dimension(spark, path, CERTIFICATE).select("fingerprint", *X509_FEATURES))
+
+
+def saved_model(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Boosted trees of a few rounds, trained on all features of all flows, at path."""
+    logs = {v: view(spark, sf_dir, v) for v in ("ssl", "x509", "http", "dns")}
+    rows = shared_path(spark, "training")
+    features(enrich(flow_windows(conn(spark, sf_dir)), **logs)).write.parquet(f"{rows}/rows")
+    save_boosted(fit_boosted(spark.read.parquet(f"{rows}/rows"), feature_names(), settings=Settings(rounds=2, leaves=7, rate=0.5)), path, spark)
+
+
+@registered()
+def stream_model_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of a stream, with all features and the certificates of another stream, scored by a saved model and written to a sink; what the sink holds."""
+    ship(spark)
+    path = shared_path(spark, "job")
+    saved_model(spark, sf_dir, f"{path}/model")
+    certificate_table(spark, sf_dir, f"{path}/certificates")
+    flows = conn_stream(spark, sf_dir)
+    enriched = with_flow_concurrency(enriched_sessions(flows, *(log_stream(spark, sf_dir, log) for log in ("ssl", "http", "dns"))), flows).drop("session")
+    write_model_detections(enriched, f"{path}/certificates", f"{path}/model", f"{path}/sink", f"{path}/state", {"availableNow": True}).awaitTermination()
+    messages = spark.read.schema("key string, value string").option("recursiveFileLookup", True).json(f"{path}/sink")
+    return rounded(read_detections(messages, False)).select(*struct(DETECTION).names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,22 @@ def enrich(conn: DataFrame, ssl: DataFrame | None = None, x509: DataFrame | None
     return attached(conn, dns_rows(dns, keys) if dns is not None else None, DNS_FEATURES, "has_dns", "dns_query_count", keys)
 
 
+def microseconds(interval: str) -> int:
+    return round(pd.Timedelta(interval.lower()).total_seconds() * 1_000_000)
+
+
 def within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, before: str, after: str, how: str = "left") -> DataFrame:
-    """left with the rows of right that share the key and lie from before to after left's time. On streams with watermarks, unmatched rows come out once no match can follow."""
+    """left with the rows of right that share the key and lie from before to after left's time. On streams with watermarks, unmatched rows come out once no match can follow.
+
+    Both sides are dealt out by key and time: a bucket is as long as the interval, a left row is in the one of its time, and
+    a right row in the one or two whose rows it can match. So a key with many rows is many small groups. Rows with a null
+    key or time match nothing.
+    """
     low, high = F.col(left_time) - F.expr(f"INTERVAL {before}"), F.col(left_time) + F.expr(f"INTERVAL {after}")
-    other = right.withColumnRenamed(key, "_key")
-    return left.join(other, (F.col(key) == F.col("_key")) & (F.col(right_time) >= low) & (F.col(right_time) <= high), how).drop("_key")
+    reach = (microseconds(after), microseconds(before))
+    length = max(sum(reach), 1_000_000)
+    bucket = lambda time, shift=0: F.floor((F.unix_micros(F.col(time).cast("timestamp")) + shift) / length)
+    touched = F.explode(F.sequence(bucket(right_time, -reach[0]), bucket(right_time, reach[1])))
+    other = right.withColumnRenamed(key, "_key").withColumn("_in", touched)
+    near = (F.col("_bucket") == F.col("_in")) & (F.col(key) == F.col("_key"))
+    return left.withColumn("_bucket", bucket(left_time)).join(other, near & (F.col(right_time) >= low) & (F.col(right_time) <= high), how).drop("_key", "_bucket", "_in")

@@ -72,6 +72,17 @@ def classification_report(scored: DataFrame, labels: Sequence[str], label: str =
     return parts.select(c("name").alias("entry"), *map(of_kind, ("precision", "recall", "f1")), "support")
 
 
+def macro_averages(counts: dict[tuple[int, int | None], int], n: int) -> dict[str, float]:
+    """Macro averages of F1, precision and recall over labels 0 to n - 1, and accuracy, from the rows of each label and prediction. Divisions by 0 give 0."""
+    safe = lambda a, b: a / b if b else 0.0
+    hits = [counts.get((i, i), 0) for i in range(n)]
+    recall = [safe(hits[i], sum(c for (a, _), c in counts.items() if a == i)) for i in range(n)]
+    precision = [safe(hits[i], sum(c for (a, b), c in counts.items() if b == i and 0 <= a < n)) for i in range(n)]
+    f1 = [safe(2 * p * r, p + r) for p, r in zip(precision, recall)]
+    mean = lambda x: safe(sum(x), n)
+    return {"f1_macro": mean(f1), "precision_macro": mean(precision), "recall_macro": mean(recall), "accuracy": safe(sum(hits), sum(counts.values()))}
+
+
 def threshold_analysis(scored: DataFrame, label: str = "class") -> DataFrame:
     """One row: coverage_pct, accuracy among confident and among uncertain rows in percent, and the number of uncertain ones. Without rows: 0."""
     sure = F.col("is_confident")
@@ -92,3 +103,15 @@ def metric_summary(scores: DataFrame) -> DataFrame:
 
 def top(table: DataFrame, by: str, n: int = 20, tie: str = "name") -> DataFrame:
     return table.orderBy(F.col(by).desc(), tie).limit(n)
+
+
+def preview(detections: DataFrame, n: int = 20, key: str = "uid") -> DataFrame:
+    """The first n detections by key, with their status."""
+    return status(detections).orderBy(key).limit(n)
+
+
+def lines(detections: DataFrame) -> DataFrame:
+    """uid and line: the label in brackets, both ends of the flow and the confidence in percent; `UNCERTAIN` below the threshold, `?` for what is missing."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    percent = F.coalesce(F.format_string("%.1f%%", F.round(F.col("confidence") * 100, 1)), F.lit("?"))
+    return status(detections).select("uid", F.concat(F.lit("["), shown("status"), F.lit("] "), shown("orig_h"), F.lit(" -> "), shown("resp_h"), F.lit(" ("), percent, F.lit(")")).alias("line"))

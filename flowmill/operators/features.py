@@ -116,3 +116,8 @@ def features(flows: DataFrame, keep: Sequence[str] = ("uid", "class"), families:
 def in_order(table: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """keep and the named features in that order; absent ones are -1."""
     return table.select(*(c for c in keep if c in table.columns), *((filled(F.col(n)) if n in table.columns else F.lit(-1.0)).alias(n) for n in names))
+
+
+def labelled(table: DataFrame, label: str = "class", name: str = "label", drop: Sequence[str] = ("uid",)) -> DataFrame:
+    """table as training takes it: the label under its name, and without the flow's key. A column that has the label's new name already gives way."""
+    return table.drop(*drop, *([name] if name != label else [])).withColumnRenamed(label, name)

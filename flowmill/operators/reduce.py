@@ -48,12 +48,12 @@ def ssl_rows(ssl: DataFrame, keys: Sequence[str] = FLOW, order: str = "ts") -> D
     return first_rows(rows, keys, ["_order"]).drop("_order")
 
 
-def certificate_rows(x509: DataFrame, order: str = "ts") -> DataFrame:
-    """Features of the first row of each fingerprint. Rows without one match no handshake and go."""
+def certificate_columns(x509: DataFrame, order: str = "ts") -> DataFrame:
+    """fingerprint, _order and the features of each row. Rows without a fingerprint match no handshake and go."""
     c = F.col
     same = c("certificate_subject") == c("certificate_issuer")
     days = (number(c("certificate_not_valid_after")) - number(c("certificate_not_valid_before"))) / 86400
-    rows = keyed(x509, ["fingerprint"]).select(
+    return keyed(x509, ["fingerprint"]).select(
         c("fingerprint").cast("string").alias("fingerprint"), c(order).alias("_order"),
         number(c("certificate_key_length")).alias("x509_key_length"),
         flag(c("certificate_key_type") == "rsa").alias("x509_is_rsa"),
@@ -63,7 +63,11 @@ def certificate_rows(x509: DataFrame, order: str = "ts") -> DataFrame:
         flag(c("host_cert") == "T").alias("x509_is_host_cert"),
         days.alias("x509_validity_days"),
     )
-    return first_rows(rows, ["fingerprint"], ["_order"]).drop("_order")
+
+
+def certificate_rows(x509: DataFrame, order: str = "ts") -> DataFrame:
+    """Features of the first row of each fingerprint."""
+    return first_rows(certificate_columns(x509, order), ["fingerprint"], ["_order"]).drop("_order")
 
 
 def of_log(log: str | None) -> tuple[Callable[[str], Column], Callable[[Column], Column]]:

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: A batch between the JVM and Python; both sides hold some.
@@ -41,6 +41,29 @@ def until_exit(spark: SparkSession, path: str) -> None:
     store.deleteOnExit(place)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs no work.
+
+    The table is deleted when the Spark application ends, or by discard.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that stored gave, when nothing will read it any more."""
+    spark = table.sparkSession
+    plain = lambda path: path.removeprefix("file:").replace("///", "/")
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if not plain(folder).startswith(plain(shared_dir(spark)) + "/"):
+            raise ValueError(f"{folder} is not in the shared folder")
+        store, place = place_of(spark, folder)
+        store.delete(place, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors, once per application, as --py-files does; and keep the session's Arrow batches small.
 

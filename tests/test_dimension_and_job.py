@@ -1,0 +1,174 @@
+"""The table of certificates under replays and late rows, joins within an interval, heavy sources, and the whole stream job."""
+
+import json
+import os
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowmill.jobs import stream_queries
+from flowmill.jobs.queries import QUERIES, rounded
+from flowmill.jobs.views import conn, view
+from flowmill.operators import concurrency as conc
+from flowmill.operators.boosting import Settings, fit_boosted, load_boosted, save_boosted
+from flowmill.operators.enrich import enrich, within
+from flowmill.operators.features import feature_names, features, labelled
+from flowmill.operators.models import score_with
+from flowmill.sources.logs import observed, read_detections, sink_of, source_of
+from flowmill.streaming import dimension, job
+from flowmill.streaming.flows import DELAYS
+
+ROW = "k string, t long, v string"
+
+
+def rows_of(spark, path):
+    return sorted(tuple(r) for r in dimension.read_dimension(spark, path, ROW).collect())
+
+
+def test_first_rows_over_batches_replays_and_late_rows(spark, tmp_path):
+    path = str(tmp_path / "table")
+    put = lambda n, rows: dimension.upsert_first(spark.createDataFrame(rows, ROW), n, path, ["k"], ["t"], parts=4)
+    assert rows_of(spark, path) == []
+    put(0, [("a", 5, "x"), ("b", 3, "y"), ("a", 5, "w"), (None, 1, "n")])
+    assert rows_of(spark, path) == [("a", 5, "w"), ("b", 3, "y")]
+    put(1, [("a", 2, "late"), ("c", 9, "z"), ("b", 4, "later")])
+    want = [("a", 2, "late"), ("b", 3, "y"), ("c", 9, "z")]
+    assert rows_of(spark, path) == want
+    put(1, [("a", 0, "replayed with other rows")])
+    put(0, [("d", 0, "older")])
+    put(2, [])
+    assert rows_of(spark, path) == want and dimension.versions(spark, path) == [0, 1]
+    spark.createDataFrame([("junk", 0, "half", 0)], f"{ROW}, part int").write.partitionBy("part").parquet(f"{path}/data/3")  # a try that failed before it was published
+    assert rows_of(spark, path) == want
+    put(3, [("e", 1, "e")])
+    assert rows_of(spark, path) == [*want, ("e", 1, "e")]
+
+
+def test_only_touched_parts_are_written_and_old_ones_go(spark, tmp_path):
+    path = str(tmp_path / "table")
+    dimension.upsert_first(spark.range(200).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(1).cast("long").alias("t"), F.lit("v").alias("v")), 0, path, ["k"], ["t"], parts=8)
+    for n in range(1, 6):
+        dimension.upsert_first(spark.createDataFrame([("k7", 1 - n, str(n))], ROW), n, path, ["k"], ["t"], parts=8)
+        parts = dimension.parts_of(spark, path, n)
+        assert sorted(set(parts.values())) == [0, n] and sum(v == n for v in parts.values()) == 1
+    assert dimension.versions(spark, path) == [3, 4, 5]
+    kept = {(v, p) for v in os.listdir(f"{path}/data") for p in os.listdir(f"{path}/data/{v}") if p.startswith("part=")}
+    assert kept == {(str(v), f"part={p}") for n in (3, 4, 5) for p, v in dimension.parts_of(spark, path, n).items()}
+    assert len(rows_of(spark, path)) == 200 and ("k7", -4, "5") in rows_of(spark, path)
+
+
+def brute_within(left, right, before, after):
+    return sorted(((a, x, m[1] if m else None) for a, k, x in left for m in ([r for r in right if k is not None and x is not None and r[0] == k and r[2] is not None and x - before <= r[2] <= x + after] or [None])), key=str)
+
+
+@pytest.mark.parametrize("before, after", [(5, 5), (24, 0), (0, 0), (1, 13)])
+def test_rows_within_an_interval(spark, before, after):
+    start = datetime(2024, 1, 1)
+    at = lambda m: None if m is None else start + timedelta(minutes=m)
+    left = [(i, "hot" if i % 4 else None if i % 3 == 0 else f"k{i}", at(i * 7 % 97 if i % 11 else None)) for i in range(60)]
+    right = [("hot" if i % 5 else None, 100 + i, at(i * 3 % 101 if i % 13 else None)) for i in range(60)]
+    got = within(spark.createDataFrame(left, "a int, k string, x timestamp"), spark.createDataFrame(right, "k string, b int, y timestamp"), "k", "x", "y", f"{before} MINUTES", f"{after} MINUTES")
+    assert got.columns == ["a", "k", "x", "b", "y"]
+    assert sorted(((r["a"], r["x"], r["b"]) for r in got.collect()), key=str) == brute_within(left, right, timedelta(minutes=before), timedelta(minutes=after))
+
+
+def test_one_key_is_joined_in_many_groups(spark):
+    minutes = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("a"), F.timestamp_seconds(F.col("id") * 60).alias("x"))
+    other = minutes.select("k", F.col("a").alias("b"), F.col("x").alias("y"))
+    joined = within(minutes, other, "k", "x", "y", "2 MINUTES", "2 MINUTES").hint("shuffle_hash")
+    assert joined.count() == 3000 * 5 - 6
+    text = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in text and "Cartesian" not in joined._jdf.queryExecution().executedPlan().toString()
+    sizes = minutes.withColumn("bucket", F.floor(F.unix_micros("x") / 240_000_000)).groupBy("k", "bucket").count().agg(F.max("count")).first()[0]
+    assert sizes == 4
+
+
+def test_flows_of_a_heavy_source_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(conc, "HEAVY", 2)
+    rows = [(f"u{i}", None if i % 50 == 0 else "big" if i % 10 else f"s{i % 7}", f"h{i % 9}", i % 5) for i in range(4000)]
+    table = spark.createDataFrame(rows, "uid string, id_orig_h string, id_resp_h string, id_resp_p int")
+    out = conc.with_source_stats(table)
+    plain = table.join(conc.source_stats(table), "id_orig_h", "left").select(out.columns)
+    assert sorted(map(str, rounded(out).collect())) == sorted(map(str, rounded(plain).collect()))
+    keys = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_source" in keys and "GlobalLimit 2" in keys
+    flows = table.join(F.broadcast(conc.source_stats(table).orderBy(F.desc("src_flow_count")).limit(2).select(F.col("id_orig_h").alias("_heavy"))), F.col("id_orig_h") == F.col("_heavy"), "left")
+    dealt = flows.withColumn("p", F.when(F.col("_heavy").isNull() & F.col("id_orig_h").isNotNull(), F.col("id_orig_h")).otherwise(F.pmod(F.xxhash64("uid"), F.lit(1 << 16)).cast("string")))
+    sizes = [r["count"] for r in dealt.repartition(8, "p").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_sketches_of_windows_are_near_the_counts(spark):
+    rows = spark.range(60_000).select(F.concat(F.lit("u"), "id").alias("uid"), F.lit("scanner").alias("id_orig_h"), F.concat(F.lit("h"), F.col("id") % 20_000).alias("id_resp_h"), (F.col("id") % 9000).cast("int").alias("id_resp_p"), F.timestamp_seconds(F.col("id") % 900).alias("event_time"))
+    exact = {r["window_start"]: r for r in conc.window_stats(rows).collect()}
+    near = {r["window_start"]: r for r in conc.window_sketches(rows).collect()}
+    assert set(exact) == set(near) and len(exact) == 4
+    for w, r in exact.items():
+        assert near[w]["src_flow_count"] == r["src_flow_count"]
+        assert all(abs(near[w][c] / r[c] - 1) < 0.08 for c in ("unique_dest_count", "unique_dest_port_count"))
+
+
+def test_places_of_logs_and_detections():
+    assert source_of("kafka://a:9092,b:9092/conn") == ("kafka", {"kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "conn", "startingOffsets": "latest", "failOnDataLoss": "false"})
+    assert source_of("/logs/conn", 3) == ("text", {"path": "/logs/conn", "maxFilesPerTrigger": "3"})
+    assert sink_of("kafka://a:9092/found") == ("kafka", {"kafka.bootstrap.servers": "a:9092", "topic": "found"}) and sink_of("/found") == ("json", {"path": "/found"})
+
+
+def test_rows_are_counted_on_the_way(spark):
+    table = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "class string")
+    out, seen = observed(table, "rows", ["a", "b", "c"])
+    assert len(out.collect()) == 4 and seen.get == {"rows": 4, "rows_a": 2, "rows_b": 1, "rows_c": 0}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+def test_labels_get_their_name(spark):
+    table = spark.createDataFrame([("u", "a", 1.0, "theirs")], "uid string, class string, f double, label string")
+    out = labelled(table)
+    assert out.columns == ["label", "f"] and tuple(out.first()) == ("a", 1.0)
+    assert labelled(table.drop("label"), name="class").columns == ["class", "f"]
+
+
+def write(folder, *files):
+    os.makedirs(folder, exist_ok=True)
+    for n, rows in enumerate(files):
+        with open(f"{folder}/{n}.json", "w") as f:
+            f.writelines(json.dumps(r) + "\n" for r in rows)
+        os.utime(f"{folder}/{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+def test_the_whole_job_from_log_files_to_detections(spark, tmp_path, sf_dir):
+    logs = {v: view(spark, sf_dir, v) for v in ("ssl", "x509", "http", "dns")}
+    rows = features(enrich(conc.flow_windows(conn(spark, sf_dir)), **logs)).cache()
+    model, names = str(tmp_path / "model"), feature_names()
+    save_boosted(fit_boosted(rows, names, settings=Settings(rounds=1, leaves=4)), model, spark)
+    base, end = 1_700_000_000.0, {"ts": 1_700_100_000.0, "uid": "end", "id.orig_h": "z"}
+    flow = lambda uid, m, **more: {"ts": base + 60 * m, "uid": uid, "id.orig_h": "a", "id.resp_h": "b", "id.resp_p": 443, **more}
+    write(tmp_path / "conn", [flow("u", 0, duration=1.5, proto="tcp", service="ssl"), flow("v", 1, duration=2.0)], [end])
+    write(tmp_path / "ssl", [flow("u", 0, version="TLSv13", cert_chain_fps=["f", "g"]), end])
+    write(tmp_path / "http", [flow("v", 1, method="GET", host="h", request_body_len=7, status_code=200), end])
+    write(tmp_path / "dns", [flow("v", 1, rtt=0.25, query="q", qtype_name="A"), end])
+    cert = {"fingerprint": "f", "certificate.key_type": "rsa", "certificate.key_length": 2048, "certificate.not_valid_before": 0.0, "certificate.not_valid_after": 864000.0}
+    write(tmp_path / "x509", [{"ts": base, **cert}], [{"ts": base - 5, **cert, "certificate.key_length": 4096}])
+    places = job.Places(*(str(tmp_path / n) for n in ("conn", "ssl", "x509", "http", "dns")), model, *(str(tmp_path / n) for n in ("certs", "sink", "state")))
+    for query in job.start(spark, places, {"availableNow": True}):
+        query.awaitTermination()
+    kept = dimension.read_dimension(spark, places.certificates, job.CERTIFICATE).collect()
+    assert [(r["fingerprint"], r["x509_key_length"], r["x509_validity_days"]) for r in kept] == [("f", 4096.0, 10.0)]
+    found = {r["uid"]: r for r in read_detections(spark.read.schema("key string, value string").option("recursiveFileLookup", True).json(places.sink), False).collect()}
+    assert set(found) == {"u", "v"} and all(r["orig_h"] == "a" and r["label"] in load_boosted(model, spark).labels for r in found.values())
+    again = job.start(spark, places, {"availableNow": True})  # nothing new: what is there stays
+    [q.awaitTermination() for q in again]
+    assert spark.read.option("recursiveFileLookup", True).json(places.sink).count() == 2
+
+
+def test_streamed_detections_are_the_batch_ones(spark, sf_dir, monkeypatch):
+    paths = {}
+    keep = stream_queries.saved_model
+    monkeypatch.setattr(stream_queries, "saved_model", lambda s, d, path: (keep(s, d, path), paths.setdefault("model", path)))
+    got = {r["uid"]: r for r in QUERIES["stream_model_detections"](spark, sf_dir).collect()}
+    model = load_boosted(paths["model"], spark)
+    logs = {v: view(spark, sf_dir, v) for v in ("ssl", "x509", "http", "dns")}
+    batch = score_with(features(enrich(conc.flow_windows(conn(spark, sf_dir)), **logs)), model, model.names, model.labels)
+    want = {r["uid"]: r for r in rounded(batch).collect()}
+    assert len(got) > 100 and all((got[u]["label"], got[u]["is_confident"]) == (want[u]["prediction"], want[u]["is_confident"]) and abs(got[u]["confidence"] - want[u]["confidence"]) < 1e-5 for u in got)
