@@ -11,7 +11,7 @@ from flowmill.operators.concurrency import flow_windows
 from flowmill.operators.enrich import enrich
 from flowmill.operators.features import features
 from flowmill.sources.logs import read_file_log
-from flowmill.streaming import flows
+from flowmill.streaming import dimension, flows, job
 
 
 def write(folder, *files):
@@ -58,13 +58,13 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 
 
 def test_certificate_table(spark, tmp_path):
-    write(tmp_path / "x509", [{"ts": 1_700_000_000.0, "fingerprint": "f"}, {"ts": 1_700_000_001.0, "fingerprint": "f"}, {"ts": 1_700_000_001.0}])
-    certificates = read_file_log(spark, str(tmp_path / "x509"), "x509", "24 hours").select("event_time", "fingerprint")
-    flows.keep_certificates(certificates, str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
-    table = spark.read.parquet(str(tmp_path / "table"))
-    assert table.count() == 1
+    rows = [{"ts": 1_700_000_000.0, "fingerprint": "f", "certificate.key_length": 1}, {"ts": 1_700_000_001.0, "fingerprint": "f"}, {"ts": 1_700_000_001.0}]
+    write(tmp_path / "x509", rows[1:], rows[:1])
+    job.keep_certificates(read_file_log(spark, str(tmp_path / "x509"), "x509", "24 hours"), str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
+    table = dimension.read_dimension(spark, str(tmp_path / "table"), job.CERTIFICATE)
+    assert [(r["fingerprint"], r["x509_key_length"]) for r in table.collect()] == [("f", 1.0)]
     handshakes = spark.createDataFrame([("u", "f"), ("v", None), ("w", "g")], "uid string, first_cert_fp string")
-    assert {r["uid"]: r["event_time"] is not None for r in flows.with_certificate_table(handshakes, table).collect()} == {"u": True, "v": False, "w": False}
+    assert {r["uid"]: r["x509_key_length"] for r in flows.with_certificate_table(handshakes, table).collect()} == {"u": 1.0, "v": None, "w": None}
 
 
 def test_scored_detections_reach_the_sink(spark, tmp_path):
