@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Where stored has written tables that are still there, in order.
+_tables: list[str] = []
 #: A batch between the JVM and Python; both sides hold some.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
@@ -50,18 +52,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     until_exit(spark, path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time for release."""
+    return len(_tables)
+
+
+def release(since: int, *used: DataFrame) -> None:
+    """Delete the tables that stored has written since a mark, but for those that used still reads."""
+    needed = {f.rsplit("/", 2)[1] for df in used for f in df.inputFiles()}
+    for path in _tables[since:]:
+        if path.rsplit("/", 1)[1] not in needed:
+            store, place = place_of(used[0].sparkSession, path)
+            store.delete(place, True)
+            _tables.remove(path)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that stored gave, when nothing will read it any more."""
-    spark = table.sparkSession
-    plain = lambda path: path.removeprefix("file:").replace("///", "/")
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if not plain(folder).startswith(plain(shared_dir(spark)) + "/"):
-            raise ValueError(f"{folder} is not in the shared folder")
-        store, place = place_of(spark, folder)
+    names = {f.rsplit("/", 2)[1] for f in table.inputFiles()}
+    for path in [p for p in _tables if p.rsplit("/", 1)[1] in names]:
+        store, place = place_of(table.sparkSession, path)
         store.delete(place, True)
+        _tables.remove(path)
 
 
 def ship(spark: SparkSession) -> None:
