@@ -3,28 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator, Sequence
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, until_exit
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs no work.
-
-    The table is deleted when the Spark application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    until_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import mark, release, stored  # noqa: F401  they are the operators' too
 
 
 def tasks(spark: SparkSession) -> int:

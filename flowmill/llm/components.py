@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mark, release, stored
 
 
 def joining_links(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,8 +30,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     A round points each node to its smallest neighbour if that is smaller, follows the pointers twice, and replaces
     the ends of the links by where they lead; links within one node go. Their number falls by a factor in each round.
     Joins have a unique side, so that AQE can split the other where one node has many links. Each round's tables go to
-    the shared folder, so no lineage grows and a lost executor costs one round at most.
+    the shared folder, so no lineage grows and a lost executor costs one round at most; those before are deleted.
     """
+    before = mark()
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     edges = stored(links.select(*pair(F.col(a), F.col(b))).filter("a <> b").distinct(), "links")
     roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
@@ -49,4 +50,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         right = hooks.select(F.col("n").alias("b"), F.col("to").alias("y"))
         moved = edges.join(left, "a").join(right, "b").filter("x <> y")
         edges = stored(moved.select(*pair(F.col("x"), F.col("y"))).distinct(), "links")
+        release(before, edges, roots)
     return roots

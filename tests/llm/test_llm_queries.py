@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowmill.llm import bpe, language, quality
@@ -190,3 +191,24 @@ def test_pipeline(spark, sf_dir):
     texts = {r[0]: r[1] for r in mixed}
     assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in mixed)
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and len(r["ids"]) == 4 * r["n_tokens"] for r in out)
+
+
+def test_stages_give_back_columns_of_any_name(spark, sf_dir):
+    names = ["score", "copies", "rejected", "has_letter", "lang_pred", "held_out", "predicted", "rate", "copy", "n_bytes", "shuffle_key", "_source", "_draws", "_steps", "_others", "a.b"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    given = docs.select("*", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, sf_dir)
+        assert out.columns == given.columns and out.schema.simpleString() == given.schema.simpleString(), name
+        assert out.filter(" OR ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0 < out.count()
+        want = stage(spark, docs, sf_dir)
+        assert sorted(r[0] for r in out.select("doc_id").collect()) == sorted(r[0] for r in want.select("doc_id").collect()), name
+
+
+def test_tables_go_when_their_readers_have_run(spark, sf_dir):
+    from flowmill import session
+
+    before = session.mark()
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._tables[before:]]
+    assert left == ["stage-3"] and out.count() > 0
