@@ -3,21 +3,39 @@
 #: Statements of a licence by its name.
 STATEMENTS = ("licensed under {}", "released under {}", "distributed under {}", "available under {}", "published under {}", "under the terms of {}", "subject to the terms of {}")
 NAMES = {
-    "agpl-3.0": "the GNU Affero General Public License, version 3",
-    "apache-2.0": "the Apache License, Version 2.0",
-    "bsd": "the BSD License",
-    "cc-by-4.0": "CC BY 4.0",
-    "cc-by-nc-4.0": "CC BY-NC 4.0",
-    "cc-by-nc-sa-4.0": "CC BY-NC-SA 4.0",
-    "cc-by-nd-4.0": "CC BY-ND 4.0",
-    "cc-by-sa-4.0": "CC BY-SA 4.0",
-    "gpl-2.0": "the GNU General Public License, version 2",
-    "gpl-3.0": "the GNU General Public License, version 3",
-    "isc": "the ISC License",
-    "lgpl-2.1": "the GNU Lesser General Public License, version 2.1",
-    "lgpl-3.0": "the GNU Lesser General Public License, version 3",
-    "mit": "the MIT License",
-    "mpl-2.0": "the Mozilla Public License, v. 2.0",
+    "agpl-3.0": ("the GNU Affero General Public License, version 3", "the AGPL v3"),
+    "apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0"),
+    "bsd": ("the BSD License",),
+    "cc-by-4.0": ("CC BY 4.0",),
+    "cc-by-nc-4.0": ("CC BY-NC 4.0",),
+    "cc-by-nc-sa-4.0": ("CC BY-NC-SA 4.0",),
+    "cc-by-nd-4.0": ("CC BY-ND 4.0",),
+    "cc-by-sa-4.0": ("CC BY-SA 4.0",),
+    "gpl-2.0": ("the GNU General Public License, version 2", "the GPL v2"),
+    "gpl-3.0": ("the GNU General Public License, version 3", "the GPL v3"),
+    "isc": ("the ISC License",),
+    "lgpl-2.1": ("the GNU Lesser General Public License, version 2.1", "the LGPL v2.1"),
+    "lgpl-3.0": ("the GNU Lesser General Public License, version 3", "the LGPL v3"),
+    "mit": ("the MIT License",),
+    "mpl-2.0": ("the Mozilla Public License, v. 2.0", "the MPL 2.0"),
+}
+#: Tags that name a licence by its identifier, and the identifiers.
+TAGS = ("SPDX-License-Identifier: {}", "License: {}")
+IDENTIFIERS = {
+    "agpl-3.0": "AGPL-3.0",
+    "apache-2.0": "Apache-2.0",
+    "bsd": "BSD",
+    "cc-by-4.0": "CC-BY-4.0",
+    "cc-by-nc-4.0": "CC-BY-NC-4.0",
+    "cc-by-sa-4.0": "CC-BY-SA-4.0",
+    "gpl-2.0": "GPL-2.0",
+    "gpl-3.0": "GPL-3.0",
+    "isc": "ISC",
+    "lgpl-2.1": "LGPL-2.1",
+    "lgpl-3.0": "LGPL-3.0",
+    "mit": "MIT",
+    "mpl-2.0": "MPL-2.0",
+    "unlicense": "Unlicense",
 }
 #: Label, the passage that grants the licence or names it, and the phrase in it that a file must hold whole.
 PASSAGES = (
@@ -91,4 +109,31 @@ PASSAGES = (
         "anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
         "permission is granted to anyone to use this software for any purpose including commercial applications",
     ),
+    (
+        "mit",
+        "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE "
+        "IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "free of charge to any person obtaining a copy of this software and associated documentation files",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in "
+        "all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL "
+        "THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR "
+        "OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "for any purpose with or without fee is hereby granted",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to "
+        "anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must "
+        "not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+        "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+        "distribution.",
+        "permission is granted to anyone to use this software for any purpose including commercial applications",
+    ),
 )

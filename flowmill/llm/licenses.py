@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
+from math import floor
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NAMES, PASSAGES, STATEMENTS
+from .license_texts import IDENTIFIERS, NAMES, PASSAGES, STATEMENTS, TAGS
 
 
 def template_words(text: str) -> list[str]:
@@ -44,11 +45,15 @@ class Template:
 # The phrases of the contract.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = (
-    *(Template(label, statement.format(name), name.removeprefix("the ")) for label, name in NAMES.items() for statement in STATEMENTS),
+    *(Template(label, statement.format(name), name.removeprefix("the ")) for label, names in NAMES.items() for name in names for statement in STATEMENTS),
+    *(Template(label, text, text) for label, id in IDENTIFIERS.items() for text in (tag.format(id) for tag in TAGS)),
     *(Template(*passage) for passage in PASSAGES),
 )
-#: A file's licence words that are looked up in the index, the rarest first; a match has more than this share of its template's words in place.
-RARE, SHARE = 8, 0.8
+#: Of a template, as many of its rarest words are indexed as may be missing in a match, and RARE more: so many must agree on where it begins.
+#: A match has SHARE of its template's words in place, each at most DRIFT words before or behind.
+RARE, SHARE, DRIFT = 2, 0.8, 4
+#: One of these in the two words before a match, or between its beginning and the key phrase, denies it.
+DENIALS = ("not", "never")
 #: Words of a template, at most.
 LONGEST = 1 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,15 +75,6 @@ def starts(words: Column, phrase: list[str]) -> Column:
     return F.filter(at, lambda i: reduce(lambda a, b: a & b, (F.get(words, i + k) == w for k, w in enumerate(phrase))))
 
 
-def may_hold(text: Column, phrases: list[list[str]]) -> Column:
-    """Can a text hold one of the phrases, as words or parts of words? Only texts with a phrase's longest word are searched for more."""
-    low, by_word = F.lower(text), defaultdict(set)
-    for phrase in phrases:
-        by_word[max(phrase, key=len)].add(SEPARATORS.join(phrase))
-    each = [F.contains(low, F.lit(word)) & F.regexp_like(low, F.lit("|".join(sorted(found)))) for word, found in sorted(by_word.items())]
-    return F.coalesce(reduce(lambda a, b: a | b, each, F.lit(False)), F.lit(False))
-
-
 def document_frequency(files: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many of all files (their words are in _words) each word of the vocabulary stands. Its size bounds what the driver gets."""
     present = F.array_intersect("_words", F.array(*(F.lit(w) for w in vocabulary)))
@@ -91,71 +87,92 @@ def constant(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, rare: int = RARE, share: float = SHARE) -> DataFrame:
+def rare_words(t: Template, df: dict[str, int], rare: int, share: float) -> tuple[list[str], int]:
+    """The words of a template that are indexed, its rarest over all files, and how many of them must agree on a place.
+
+    Of a match at most missing words of the template are absent, so of missing + rare different words rare are there.
+    """
+    missing = floor((1 - share) * len(t.words) + 1e-9)
+    words = sorted(set(t.words), key=lambda w: (df[w], w))[: missing + rare if rare else 0]
+    return words, max(1, len(words) - missing)
+
+
+def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, rare: int = RARE, share: float = SHARE, drift: int = DRIFT) -> DataFrame:
     """docs with the licences that they state.
 
-    A positional index has, for each word of the templates, the templates and places at which it stands. Of a file, the
-    licence words with the highest IDF (over all files) are looked up in it: rare of them, and the rarest word of every
-    template's key phrase, so that no match is missed where many licences meet. A posting and the word's place in the
-    file give a template and where it would begin; the postings' intersection there, the template's words that the file
-    has at the same relative positions, must be more than share of the template, and the key phrase must stand whole.
+    A positional index has the rarest words of each template (by how few of all files have them), with the templates and
+    places at which they stand. A file's words that are in it name the templates of which it has enough; only these words
+    are looked up at each of their places. A posting and the word's place in the file give where a template would begin;
+    where rare of a template's words agree on that to within twice drift, its key phrase must stand whole, and at least
+    share of its words in place, each at most drift words off. So words put in or left out don't undo a match. One that
+    is denied (see DENIALS) doesn't count. Without indexed words (rare 0) only the phrases are found.
 
     Adds n_words; n_base, first_word, last_word and base_labels of the phrases; labels of both; score, the best share (at
-    least 0.5 with a phrase, 0 without a label); and matches (label, start, share), of equal statements each. They replace
-    columns of these names. A null text is empty, and so has no words; repeated rows are scanned one by one; an empty table
-    gives an empty one. Files that can't hold any phrase or key phrase are not taken apart, but counted for the IDF. There
-    is no shuffle of files: rows stay where they are read. A template of few words must stand whole (of five words, each).
+    least 0.5 with a phrase, 0 without a label); and matches (label, start, share). They replace columns of these names. A
+    null text is empty, and so has no words; repeated rows are scanned one by one; an empty table gives an empty one. There
+    is no shuffle of files: rows stay where they are read.
     """
-    kept = docs.drop(*OWN, "_words", "_base", "_look", "_spots", "_began")
+    own = ("_words", "_seen", "_hits", "_named", "_look", "_spots", "_votes", "_near", "_began", "_base")
+    kept = docs.drop(*OWN, *own)
     if any(len(t.words) > LONGEST for t in templates):
         raise ValueError(f"a template of more than {LONGEST} words")
     vocabulary = sorted({w for t in templates for w in t.words})
     df = document_frequency(docs.select(words_of(F.col(text)).alias("_words")), vocabulary) if vocabulary else {}
-    ranked = sorted(vocabulary, key=lambda w: (df[w], w))
-    keys = sorted({min(t.key_words, key=lambda w: (df[w], w)) for t in templates})
-    index = defaultdict(list)
-    for k, t in enumerate(templates):
+    indexed = [rare_words(t, df, rare, share) for t in templates]
+    index, named = defaultdict(list), defaultdict(list)
+    for k, (t, (words, _)) in enumerate(zip(templates, indexed)):
+        for w in words:
+            named[w].append(k)
         for at, w in enumerate(t.words):
-            index[w].append({"t": k, "at": at})
+            if w in words:
+                index[w].append({"t": k, "at": at})
     postings = constant(index, "map<string,array<struct<t:int,at:int>>>")
+    templates_of = constant(named, "map<string,array<int>>")
+    needed = constant([n for _, n in indexed], "array<int>")
     of = constant([{"label": t.label, "words": t.words, "key": t.key_words, "key_at": t.key_at} for t in templates], "array<struct<label:string,words:array<string>,key:array<string>,key_at:int>>")
+    spoken = {p: template_words(p) for p in phrases}
+    wanted = constant(sorted({*index, *(w for p in spoken.values() for w in p)}), "array<string>")
 
     words = F.col("_words")
     some = lambda given, column, kind: F.when(F.size(given) > 0, column).otherwise(F.array().cast(kind))
-    maybe = may_hold(F.col(text), [*map(template_words, phrases), *(t.key_words for t in templates)])
+    there = lambda values, n, f: F.filter(F.transform(values, lambda x, j: F.when(f(x, F.get(values, j + n(x) - 1)), x)), lambda x: x.isNotNull())
+    # A template and a place as one number, so that Spark sorts and tells apart longs. Columns are named between the steps: named once, Spark would compute them anew for each word.
+    code = lambda t, start: t.cast("long") * (1 << 33) + start + LONGEST
+    template = lambda c: F.shiftright(c, 33).cast("int")
+    begin = lambda c: (c.bitwiseAND((1 << 33) - 1) - LONGEST).cast("int")
+
+    def is_key(c: Column) -> Column:
+        t, at = F.get(of, template(c)), begin(c) + F.get(of, template(c)).key_at
+        rest = F.forall(F.transform(t.key, lambda w, q: F.coalesce(F.get(words, at + q) == w, F.lit(False))), lambda x: x)
+        return F.coalesce(F.get(words, at) == F.get(t.key, F.lit(0)), F.lit(False)) & rest
+
+    def around(first: Column, last: Column) -> Column:
+        """The words from the place first to the place last."""
+        low = F.greatest(first, F.lit(0))
+        return F.slice(words, low + 1, F.greatest(last - low + 1, F.lit(0)))
+
+    def matched(c: Column) -> Column:
+        t, start = F.get(of, template(c)), begin(c)
+        same = F.filter(F.transform(t.words, lambda w, q: F.array_contains(around(start + q - drift, start + q + drift), w)), lambda x: x)
+        denied = F.arrays_overlap(around(start - 2, start + t.key_at - 1), F.array(*map(F.lit, DENIALS)))
+        return F.struct(t.label.alias("label"), start.alias("start"), F.when(denied, 0.0).otherwise(F.size(same) / F.size(t.words)).alias("share"))
+
     found = kept.withColumn("_words", words_of(F.col(text))).withColumn("n_words", F.coalesce(F.size("_words"), F.lit(0)).cast("long"))
-    found = found.withColumn("_words", F.when(maybe, words).otherwise(F.array().cast("array<string>")))
-
-    present = F.array_intersect(constant(ranked, "array<string>"), words)  # in the order of the first
-    looked_up = F.array_union(F.slice(present, 1, rare), F.array_intersect(constant(keys, "array<string>"), words))
-    # _look is named outside of the function too: named once, Spark would put it there in full, for each word anew.
-    spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains("_look", s.w))
-
-    def has_key(a: Column) -> Column:
-        t = F.get(of, a.t)
-        at = a.start + t.key_at
-        return F.forall(F.transform(t.key, lambda w, q: F.coalesce(F.get(words, at + q) == w, F.lit(False))), lambda x: x)
-
-    def matched(a: Column) -> Column:
-        t = F.get(of, a.t)
-        same = F.filter(F.transform(t.words, lambda w, q: F.coalesce(F.get(words, a.start + q) == w, F.lit(False))), lambda x: x)
-        return F.struct(t.label.alias("label"), a.start.alias("start"), (F.size(same) / F.size(t.words)).alias("share"))
-
-    # A template and where it begins, as one number: Spark tells equal numbers apart by hashing, but structs by comparing each two.
-    began = F.transform("_spots", lambda s: F.transform(
-        F.filter(F.transform(F.try_element_at(postings, s.w), lambda p: F.struct(p.t.alias("t"), (s.i - p.at).alias("start"))), has_key),
-        lambda a: a.t.cast("long") * (1 << 33) + a.start + LONGEST,
-    ))
-    parted = lambda x: F.struct(F.shiftright(x, 33).cast("int").alias("t"), (x.bitwiseAND((1 << 33) - 1) - LONGEST).cast("int").alias("start"))
-    base = F.array(*(F.struct(F.lit(label).alias("label"), starts(words, template_words(p)).alias("at")) for p, label in phrases.items()))
-    found = found.withColumn("_look", some("_words", looked_up, "array<string>"))
-    found = found.withColumn("_spots", some("_look", spots, "array<struct<w:string,i:int>>"))
-    found = found.withColumn("_began", F.transform(F.array_distinct(F.flatten(began)), parted))
-    found = found.withColumn("matches", F.filter(F.transform("_began", matched), lambda m: m.share > share))
-    found = found.withColumn("_base", F.when(F.size(words) > 0, F.filter(base, lambda b: F.size(b.at) > 0)))
-    none = F.array().cast("array<string>")
+    found = found.withColumn("_seen", F.array_intersect(wanted, words))
+    found = found.withColumn("_hits", some("_seen", F.sort_array(F.flatten(F.transform("_seen", lambda w: F.coalesce(F.try_element_at(templates_of, w), F.array().cast("array<int>"))))), "array<int>"))
+    found = found.withColumn("_named", F.array_distinct(there(F.col("_hits"), lambda t: F.get(needed, t), lambda t, later: later == t)))
+    found = found.withColumn("_look", some("_named", F.filter("_seen", lambda w: F.coalesce(F.arrays_overlap(F.try_element_at(templates_of, w), "_named"), F.lit(False))), "array<string>"))
+    found = found.withColumn("_spots", some("_look", F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains("_look", s.w)), "array<struct<w:string,i:int>>"))
+    votes = F.transform("_spots", lambda s: F.transform(F.filter(F.try_element_at(postings, s.w), lambda p: F.array_contains("_named", p.t)), lambda p: code(p.t, s.i - p.at)))
+    found = found.withColumn("_votes", F.sort_array(F.flatten(votes)))
+    found = found.withColumn("_near", there(F.col("_votes"), lambda c: F.get(needed, template(c)), lambda c, later: F.coalesce(later - c <= 2 * drift, F.lit(False))))
+    found = found.withColumn("_began", F.array_distinct(F.flatten(F.transform("_near", lambda c: F.filter(F.sequence(c - drift, c + drift), is_key)))))
+    found = found.withColumn("matches", F.filter(F.transform("_began", matched), lambda m: m.share >= share))
+    has_all = lambda p: F.size(F.array_intersect("_seen", F.array(*map(F.lit, sorted(set(p)))))) == len(set(p))
+    base = F.array(*(F.struct(F.lit(label).alias("label"), F.when(has_all(spoken[p]), starts(words, spoken[p])).otherwise(F.array().cast("array<int>")).alias("at")) for p, label in phrases.items()))
+    found = found.withColumn("_base", some("_seen", F.filter(base, lambda b: F.size(b.at) > 0), "array<struct<label:string,at:array<int>>>"))
     places = F.flatten(F.transform("_base", lambda b: b.at))
-    base_labels = F.coalesce(F.transform("_base", lambda b: b.label), none)
+    base_labels = F.transform("_base", lambda b: b.label)
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m.share)), F.lit(0.0))
     return found.select(
@@ -181,10 +198,13 @@ def _sql_starts(words: list[str]) -> str:
 
 
 def _sql_shares(t: Template) -> str:
-    """The shares of the template's words in place, wherever its key phrase stands, those above SHARE."""
+    """The shares of the template's words in place, each at most DRIFT off, wherever its key phrase stands undenied, those of SHARE at least."""
     at = f"i - {t.key_at}"
-    same = " + ".join(f"CASE WHEN {at} + {q} >= 0 AND w[{at} + {q + 1}] = '{x}' THEN 1 ELSE 0 END" for q, x in enumerate(t.words))
-    return f"list_filter(list_transform({_sql_starts(t.key_words)}, lambda i: ({same}) / {len(t.words)}.0::DOUBLE), lambda x: x > {SHARE})"
+    near = f"w[greatest({at} + q + 1 - {DRIFT}, 1):greatest({at} + q + 1 + {DRIFT}, 0)]"
+    same = f"len(list_filter(range({len(t.words)}), lambda q: list_contains({near}, [{', '.join(f"'{x}'" for x in t.words)}][q + 1])))"
+    undenied = f"NOT list_has_any(w[greatest({at} - 1, 1):greatest(i, 0)], [{', '.join(f"'{x}'" for x in DENIALS)}])"
+    starts = f"list_filter({_sql_starts(t.key_words)}, lambda i: {undenied})"
+    return f"list_filter(list_transform({starts}, lambda i: {same} / {len(t.words)}.0::DOUBLE), lambda x: x >= {SHARE})"
 
 
 OP9_SQL = rf"""

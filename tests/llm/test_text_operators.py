@@ -400,8 +400,8 @@ def brute_license(text, templates=licenses.TEMPLATES):
         for i in range(len(words)):
             if words[i : i + len(t.key_words)] == t.key_words:
                 s = i - t.key_at
-                share = sum(0 <= s + q < len(words) and words[s + q] == w for q, w in enumerate(t.words)) / len(t.words)
-                if share > 0.8:
+                share = sum(w in words[max(s + q - 4, 0) : max(s + q + 5, 0)] for q, w in enumerate(t.words)) / len(t.words)
+                if share >= 0.8 and not {"not", "never"} & set(words[max(s - 2, 0) : i]):
                     labels.add(t.label)
                     best = max(best, share)
     places = sorted(x for v in at.values() for x in v)
@@ -434,6 +434,28 @@ def test_licenses_of_very_long_texts(spark):
     assert [r["n_words"] for r in out] == [2 * n, 1, 300_003] and out[2]["first_word"] == 300_000 and out[2]["labels"] == "reserved" and out[1]["labels"] == ""
 
 
+MIT = next(t.text for t in licenses.TEMPLATES if t.label == "mit" and 50 < len(t.words) < 100)
+
+
+@pytest.mark.parametrize("text, labels", [
+    (MIT, "mit"), (" ".join([*MIT.split()[:40], "indeed", *MIT.split()[40:]]), "mit"), (" ".join([*MIT.split()[:40], *MIT.split()[41:]]), "mit"), ("Licensed under MIT license", "mit"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("License: GPL-3.0-or-later", "gpl-3.0"), ("released under the GPL v3", "gpl-3.0"), ("licensed under the terms of the Apache License 2.0", "apache-2.0"), ("not licensed under the MIT license", ""),
+    ("It was never released under the GPL v3", ""), (" ".join(reversed(MIT.split())), ""), ("a permit of the university license", ""),
+])
+def test_licenses_in_other_words(spark, text, labels):
+    docs = spark.createDataFrame([(text,), ("x " * 30 + text + " y" * 30,)], "text string")
+    assert {r["labels"] for r in licenses.scan_licenses(docs).collect()} == {labels}
+
+
+def test_licences_come_by_the_index(spark):
+    """Without rare words nothing but the phrases is found; letters beyond ASCII keep their case; a column of the scan's own names gives way."""
+    ecole = licenses.Template("ecole", "Sous LICENCE ÉCOLE LIBRE pour tous les usages", "LICENCE ÉCOLE LIBRE")
+    docs = spark.createDataFrame([(MIT, "x"), ("cc by", "x"), (ecole.text, "x"), (None, "x")], "text string, _votes string")
+    scan = lambda **more: [r["labels"] for r in licenses.scan_licenses(docs, templates=(*licenses.TEMPLATES, ecole), **more).collect()]
+    assert scan() == ["mit", "cc-by", "ecole", ""] and scan(rare=0) == ["", "cc-by", "", ""]
+    assert not re.search("Python|Pandas|Arrow", licenses.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString())
+
+
 def test_licenses_of_own_templates(spark):
     """What a file must hold follows from the templates given."""
     own = (licenses.Template("public-domain", "this is free and unencumbered stuff", "free and unencumbered"), licenses.Template("beer", "buy me a beer in return", "a beer"))
