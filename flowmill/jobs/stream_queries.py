@@ -103,6 +103,26 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(joined.select("event_id", "error_id"), shared_path(spark, "interval"))
 
 
+#: The chain below: kind of event, column, and how far from the purchase it may lie.
+CHAIN = (("error", "error_id", 5), ("view", "view_id", 2))
+_PASSED = "(SELECT least(max(ts) FILTER (WHERE event_type = 'purchase'), max(ts) FILTER (WHERE event_type = 'error'), max(ts) FILTER (WHERE event_type = 'view')) - INTERVAL 5 MINUTES FROM events)"
+
+
+@registered(f"""WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+e AS (SELECT p.*, x.event_id AS error_id FROM p LEFT JOIN events x ON x.event_type = 'error' AND x.user_id = p.user_id AND x.ts BETWEEN p.ts - INTERVAL 5 MINUTES AND p.ts + INTERVAL 5 MINUTES),
+v AS (SELECT e.*, x.event_id AS view_id FROM e LEFT JOIN events x ON x.event_type = 'view' AND x.user_id = e.user_id AND x.ts BETWEEN e.ts - INTERVAL 2 MINUTES AND e.ts + INTERVAL 2 MINUTES)
+SELECT event_id, error_id, view_id FROM v
+WHERE (error_id IS NOT NULL OR ts + INTERVAL 5 MINUTES < {_PASSED}) AND (view_id IS NOT NULL OR ts + INTERVAL 7 MINUTES < {_PASSED})""")
+def stream_left_interval_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases of a stream, joined from the left with errors and then with views near them: unmatched ones come out once, when the watermark lets none follow."""
+    events = read_table_stream(spark, sf_dir, "events").withColumn("time", F.col("ts").cast("timestamp"))
+    out = watermarked(events.filter("event_type = 'purchase'").select("user_id", "event_id", "time"), "conn", "time")
+    for kind, name, minutes in CHAIN:
+        others = watermarked(events.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("time").alias("other_time")), "conn", "other_time")
+        out = within(out, others, "user_id", "time", "other_time", f"{minutes} MINUTES", f"{minutes} MINUTES").drop("other_time")
+    return drained(out.select("event_id", "error_id", "view_id"), shared_path(spark, "chain"))
+
+
 @registered(with_views(f"{SCORED_SQL} SELECT uid, prediction AS label, {r('confidence')} AS confidence FROM scored WHERE is_confident", "conn"))
 def stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of a stream scored as they come and written to a sink as keyed JSON; the confident ones, read from there."""

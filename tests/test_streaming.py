@@ -11,7 +11,7 @@ from flowmill.operators.concurrency import flow_windows
 from flowmill.operators.enrich import enrich
 from flowmill.operators.features import features
 from flowmill.sources.logs import read_file_log
-from flowmill.streaming import dimension, flows, job
+from flowmill.streaming import dimension, flows, job, late
 
 
 def write(folder, *files):
@@ -110,3 +110,28 @@ def test_flows_of_one_source_are_not_held_together(spark):
     twin = rounded(flow_windows(table).dropna(subset=["id_orig_h"])).select(streamed.columns)
     key = lambda r: tuple(map(str, r))
     assert sorted(rounded(streamed).collect(), key=key) == sorted(twin.collect(), key=key) and streamed.count() == sum(r[1] is not None for r in rows)
+
+
+def test_late_rows_are_counted_and_kept_aside(spark, tmp_path):
+    batches = [[row("a", 0), row("b", 20)], [row("c", 30), row("d", 14), row("e", 16), row("f", 40)], [row("g", 34), row("h", 35), row("i", 3), row("j", 60), {"uid": "k"}]]
+    write(tmp_path / "http", *batches)
+    stream = read_file_log(spark, str(tmp_path / "http"), "http", "5 minutes")
+    want, dropped, latest, earlier = [], [], 0, 0
+    for rows in batches:  # a replay by hand: the latest time of all batches before, less the delay; operators drop by the batch before's
+        times = {r["uid"]: r["ts"] for r in rows if "ts" in r}
+        want += [u for u, t in times.items() if t <= latest - 300]
+        dropped += [u for u, t in times.items() if t <= earlier - 300]
+        earlier, latest = latest, max([*times.values(), latest])
+    assert (want, dropped) == (["d", "g", "h", "i"], ["i"])
+    for _ in range(2):  # started again, it finds nothing new and keeps what it has
+        late.keep_late(stream, str(tmp_path / "late"), str(tmp_path / "state"), "5 minutes").awaitTermination()
+        assert sorted(r["uid"] for r in late.read_late(spark, str(tmp_path / "late"), stream).collect()) == want
+    assert late.read_late(spark, str(tmp_path / "none"), stream).count() == 0
+    listener = late.DroppedRows()
+    spark.streams.addListener(listener)
+    unique = stream.dropDuplicatesWithinWatermark(["uid"]).select("uid")
+    query = unique.writeStream.format("noop").queryName("unique").option("checkpointLocation", str(tmp_path / "unique")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(listener)
+    assert listener.dropped("unique") == late.dropped_by(query) == len(dropped) and listener.dropped("other") == 0
