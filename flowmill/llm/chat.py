@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+PLACEHOLDER = r"<\|(\w+)\|>"
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 
@@ -98,28 +99,61 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     )
 
 
-def read_turns(formatted: Column) -> Column:
-    """The turns in a formatted conversation: array of role and text, unescaped. Placeholders stay as they are: `formatted` tells them from texts that look like them, whose `<` is escaped."""
+def without_placeholders(body: Column) -> Column:
+    """A rendered body's text parts alone. No text can be mistaken for a placeholder, since every `<` of a text is escaped."""
+    return F.regexp_replace(body, PLACEHOLDER, "")
+
+
+def read_turns(formatted: Column, placeholders: bool = True) -> Column:
+    """The turns in a formatted conversation: array of role, text (unescaped) and placeholders (kinds of the parts that aren't text, in order).
+
+    Placeholders stay in the text unless told otherwise: `formatted` tells them from texts that look like them, whose `<` is escaped.
+    """
     pieces = F.split(formatted, r"<\|end\|>", -1)
     pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
     role = lambda p: F.substring_index(p, BODY, 1)
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substr(role(p), F.lit(len(TURN) + 1))).alias("role"), unescape(F.substr(p, F.length(role(p)) + len(BODY) + 1)).alias("text")))
+    body = lambda p: F.substr(p, F.length(role(p)) + len(BODY) + 1)
+    shown = (lambda x: x) if placeholders else without_placeholders
+    return F.transform(pieces, lambda p: F.struct(
+        unescape(F.substr(role(p), F.lit(len(TURN) + 1))).alias("role"), unescape(shown(body(p))).alias("text"), F.regexp_extract_all(body(p), F.lit(PLACEHOLDER), F.lit(1)).alias("placeholders"),
+    ))
 
 
-def read_loss(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substr(formatted, (s.start + 1).cast("int"), s.length))), "")
+def read_loss(formatted: Column, loss: Column, placeholders: bool = True) -> Column:
+    """All text under the loss mask, unescaped, in order; with or without placeholders."""
+    shown = (lambda x: x) if placeholders else without_placeholders
+    return F.array_join(F.transform(loss, lambda s: unescape(shown(F.substr(formatted, (s.start + 1).cast("int"), s.length)))), "")
 
 
 #: The conversation that op10 adds: control strings of other templates, a backslash, and what looks like an end.
 HARD = r"\### Assistant: </turn> ok"
 
 
+def page_part(url: Column, html: Column, page: Column) -> Column:
+    """A part for a web page: by its number an image (a screenshot), an audio clip (read out), or a document (printed), as large as the page is long."""
+    n = F.length(html)
+    kind = F.element_at(F.array(*map(F.lit, ATTACHED)), (F.pmod(page, F.lit(len(ATTACHED))) + 1).cast("int"))
+    of = lambda name, value, kind_of: F.when(kind == name, value).cast(kind_of)
+    return F.struct(
+        kind.alias("kind"), F.lit(None).cast("string").alias("text"), url.alias("ref"), of("image", 640 + n % 640, "int").alias("width"), of("image", 480 + n % 480, "int").alias("height"),
+        of("audio", n / 16, "double").alias("seconds"), of("document", F.ceil(n / 3000), "int").alias("pages"),
+    )
+
+
+#: Kinds of parts that the query attaches.
+ATTACHED = ("image", "audio", "document")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of typed parts: a user's first turn (turn 0) shows the page with the conversation's number, before its text, where there is one."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
-    chats = format_chats(rows.unionByName(extra).select("conv_id", "turn", "role", text_part(F.coalesce("text", F.lit(""))).alias("parts")))
-    read = chats.select("*", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(F.col("page_id").alias("_page")).agg(F.min(page_part(F.col("url"), F.col("html"), F.col("page_id"))).alias("_part"))
+    shown = (F.col("turn") == 0) & (F.col("role") == "user")
+    rows = rows.unionByName(extra).join(pages, (F.col("conv_id") == F.col("_page")) & shown, "left")
+    texts = text_part(F.coalesce("text", F.lit("")))
+    chats = format_chats(rows.select("conv_id", "turn", "role", F.when(F.col("_part").isNotNull(), F.concat(F.array("_part"), texts)).otherwise(texts).alias("parts")))
+    read = chats.select("*", read_turns(F.col("formatted"), False).alias("turns"), read_loss(F.col("formatted"), F.col("loss"), False).alias("learned"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -127,18 +161,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+        F.array_join(F.flatten(F.transform("turns", lambda t: t.placeholders)), ",").alias("placeholders"),
+        F.array_join(F.transform("attachments", lambda a: F.coalesce(a.ref, F.lit(""))), ",").alias("references"),
+        "expanded_tokens",
+    )
 
 
+_KIND = " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(ATTACHED))
 OP10_SQL = rf"""
-WITH rows AS (
+WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '{HARD}'), (-7, 1, 'assistant', '{HARD}')
-)
+),
+shown AS (SELECT page_id, url, length(html) AS n, CASE page_id % {len(ATTACHED)} {_KIND} END AS kind FROM pages),
+sized AS (SELECT *, CASE kind WHEN 'image' THEN ceil((640 + n % 640) / 28.0) * ceil((480 + n % 480) / 28.0) + 2 WHEN 'audio' THEN ceil(n / 16.0 * 25) ELSE ceil(n / 3000.0) * 256 END AS tokens FROM shown),
+rows AS (SELECT * FROM said LEFT JOIN sized ON conv_id = page_id AND turn = 0 AND role = 'user')
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(replace(role, '<', '<~')) + length(replace(text, '<', '<~')) + {len(TURN + BODY + END)}) AS BIGINT) AS formatted_chars
+  CAST(sum(length(replace(role, '<', '<~')) + length(replace(text, '<', '<~')) + {len(TURN + BODY + END)} + CASE WHEN kind IS NULL THEN 0 ELSE length(kind) + 4 END) AS BIGINT) AS formatted_chars,
+  coalesce(string_agg(kind, ',' ORDER BY turn), '') AS placeholders, coalesce(string_agg(url, ',' ORDER BY turn), '') AS "references", CAST(coalesce(sum(tokens), 0) AS BIGINT) AS expanded_tokens
 FROM rows GROUP BY conv_id
 """
