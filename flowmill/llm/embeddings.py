@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, runs, stored
+from .common import lean, mark, release, runs, stored
 from .components import connected_components, joining_links
 
 #: Vectors that are compared with as many others at once; a larger bucket or component is dealt out as pairs of blocks.
@@ -64,8 +64,9 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Unit rows of a list column, in double precision."""
+    """Unit rows of a list column, in double precision; scaled by their largest component first, so that no square overflows or vanishes."""
     x = np.stack(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -84,20 +85,22 @@ def block_pairs(rows: DataFrame, key: str, id: str, size: int = BLOCK) -> DataFr
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, tables: int = 8, hashes: int = 2, probes: int = 2, seed: int = 5) -> DataFrame:
     """id, n_links, component_id and kept for every row of vectors.
 
-    Vectors that are null, empty, zero, or hold null or non-finite entries have no links. Equal vectors form a class, of
-    which one is hashed; its copies count as links of each other. Two classes meet if they share a bucket, their own or a
+    Vectors that are null, empty, zero, or hold null or non-finite entries have no links. Equal vectors form a class with
+    a number of its own, of which one is hashed; its copies count as links of each other. Buckets are dealt out as numbers
+    of classes, and vectors join only those of buckets with several classes. Two classes meet if they share a bucket, their own or a
     probe; buckets are compared in blocks and give only links that join what was apart within the block. n_links then
     comes from comparing all members of a component, in blocks too, so that it lacks only links between components, of
     which the hashing saw no pair. All comparisons are of double-precision cosines of the whole vectors. Vectors of
     different length are never compared. A null id is an id of its own; rows with equal ids and vectors count as copies.
+    Other columns are ignored, whatever their names; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id).alias("id"), F.col(embedding).alias("vector"))
-    size2 = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    before = mark()
     finite = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
-    usable = F.coalesce(finite & (size2 > 0), F.lit(False))
+    usable = F.coalesce(finite & F.exists("vector", lambda v: v != 0), F.lit(False))
     classes = rows.filter(usable).groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes.withColumn("class", F.xxhash64("vector")), "classes")
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # what is written stays so
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +109,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
                 for at in np.array_split(own := np.flatnonzero(lengths == d), -(-len(own) // 2000)):
                     part = batch.take(pa.array(at))
                     keys = bucket_keys(matrix(part.column("vector")), tables, hashes, probes, seed) * 4096 + d % 4096
-                    again = np.repeat(np.arange(len(at)), keys.shape[1])
-                    yield part.take(pa.array(again)).append_column("bucket", pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_pydict({"class": np.repeat(part.column("class").to_numpy(), keys.shape[1]), "bucket": keys.ravel()})
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["bucket", "i", "j"]):
@@ -133,10 +135,11 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
                 linked = x[a] @ x[b].T >= least
                 yield pa.RecordBatch.from_pydict({"class": np.concatenate([ids[a], ids[b]]), "n": np.concatenate([linked @ copies[b], linked.T @ copies[a]])})
 
-    entries = classes.select("class", "vector").mapInArrow(lean(hashed), "class long, vector array<float>, bucket long" if "float" in dict(classes.dtypes)["vector"] else "class long, vector array<double>, bucket long")
-    groups = block_pairs(entries, "bucket", "class")
+    entries = stored(classes.select("class", "vector").mapInArrow(lean(hashed), "class long, bucket long").distinct(), "entries")
+    groups = block_pairs(entries, "bucket", "class").join(classes.select("class", "vector"), "class")
     ordered = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     roots = connected_components(ordered.mapInArrow(lean(joined), "a long, b long"))
+    release(before, classes, roots)
     roots = roots.select(F.col("node").alias("class"), "root")
     members = block_pairs(classes.join(roots, "class").select("class", "vector", "copies", "root"), "root", "class")
     ordered = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")

@@ -60,3 +60,14 @@ def test_components_of_chains_stars_and_cycles(spark):
     out = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {out[i] for i in range(41)} == {0} and {out[100 + k] for k in range(30)} == {100} and out[202] == 200 and 300 not in out
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_numbers_of_extreme_size_and_other_columns(spark):
+    """Vectors whose squares overflow or vanish, a vector of many copies, and clashing names."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.1e200]), (2, [1e-200, 1e-200]), (3, [1e-320, -1e-320]), (4, [-1e300, 1e300]), (5, [0.0, 0.0]), (6, None), (7, [float("nan"), 1.0]), (8, []), (9, [None, 1.0])]
+    table = spark.createDataFrame(rows + [(100 + i, [1e-200, 1e-200]) for i in range(50)], "vec_id long, embedding array<double>").selectExpr("*", "'x' AS class", "'x' AS vector", "'x' AS bucket", "'x' AS n_links")
+    out = {r["vec_id"]: r for r in embeddings.near_duplicates(table).collect()}
+    assert all(out[i]["component_id"] == 0 and out[i]["n_links"] == 52 for i in (0, 1, 2, 100, 149))
+    assert all((out[i]["component_id"], out[i]["n_links"]) == (i, 0) for i in (3, 4))  # opposite to each other
+    assert all((out[i]["component_id"], out[i]["n_links"], out[i]["kept"]) == (i, 0, True) for i in range(5, 10))
+    assert embeddings.near_duplicates(table.limit(0)).count() == 0
