@@ -198,7 +198,8 @@ stats AS (SELECT {key}, src_flow_count, unique_dest_count, unique_dest_port_coun
 
 STATS_SQL, STATS_RAW = (_stats_sql("id_orig_h", "(SELECT *, 1 AS n FROM conn)", f) for f in (r, same))
 PANE = "time_bucket(INTERVAL 5 MINUTES, ts)"
-WINDOWS_SQL = f"""spread AS (SELECT id_orig_h, id_resp_h, id_resp_p, 1 AS n, unnest([{PANE}, {PANE} - INTERVAL 5 MINUTES]) AS window_start FROM conn), """ + _stats_sql("id_orig_h, window_start", "spread")
+_SPREAD = f"""spread AS (SELECT id_orig_h, id_resp_h, id_resp_p, 1 AS n, unnest([{PANE}, {PANE} - INTERVAL 5 MINUTES]) AS window_start FROM conn), """
+WINDOWS_SQL, WINDOWS_RAW = (_SPREAD + _stats_sql("id_orig_h, window_start", "spread", f) for f in (r, same))
 STAT_NAMES = ", ".join(SOURCE_FEATURES)
 
 

@@ -19,7 +19,7 @@ from ..sources.logs import read_detections
 from ..streaming.dimension import read_dimension
 from ..streaming.flows import DELAYS, dns_sessions, drained, enriched_sessions, flow_concurrency, http_sessions, read_table_stream, stream_flow_features, watermarked, window_concurrency, with_flow_concurrency, write_detections
 from ..streaming.job import CERTIFICATE, keep_certificates, write_model_detections
-from .queries import CERT_ROWS, COEFFICIENTS, PANE, SCORED_SQL, r, registered, rounded
+from .queries import ALL_VIEWS, CERT_ROWS, COEFFICIENTS, ENRICHED_SQL, FEATURE_SQL, PANE, SCORED_SQL, STATS_RAW, WINDOWS_RAW, features_sql, r, registered, rounded
 from .views import CONN, DNS, HTTP, K, SSL, conn, view, with_views
 
 
@@ -148,7 +148,15 @@ def log_stream(spark: SparkSession, sf_dir: str, log: str) -> DataFrame:
     return watermarked(joined.selectExpr(*(f"{e} AS {n}" for n, e in columns.items()), "event_time"), log)
 
 
-@registered()
+#: What the watermark of all four streams has passed at their end.
+_PASSED_ALL = """(SELECT least((SELECT max(ts) FROM conn), (SELECT max(ts) FROM events JOIN orders ON o_orderkey = event_id WHERE o_orderstatus <> 'P'),
+  (SELECT max(ts) FROM events JOIN lineitem ON l_orderkey = event_id WHERE l_linestatus = 'O'), (SELECT max(ts) FROM events JOIN lineitem ON l_orderkey = event_id WHERE l_linestatus = 'F')) - INTERVAL 5 MINUTES)"""
+#: Flows with the other logs and the statistics of their latest window.
+WINDOWED_SQL = ENRICHED_SQL.replace(STATS_RAW, WINDOWS_RAW).replace("FROM conn LEFT JOIN stats ON conn.id_orig_h = stats.id_orig_h", f"FROM (SELECT *, {PANE} AS window_start FROM conn) conn LEFT JOIN stats ON conn.id_orig_h = stats.id_orig_h AND conn.window_start = stats.window_start").replace("EXCLUDE (id_orig_h)", "EXCLUDE (id_orig_h, window_start)")
+
+
+@registered(with_views(f"""{WINDOWED_SQL} {features_sql(FEATURE_SQL, 'joined', 5)}
+WHERE ts + INTERVAL 5 MINUTES <= {_PASSED_ALL} AND window_start + INTERVAL 10 MINUTES <= {_PASSED_ALL}""", *ALL_VIEWS))
 def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of the flows whose session and window have closed; source statistics are those of the flow's latest window."""
     certificates = certificate_rows(view(spark, sf_dir, "x509"))
