@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, slices, tasks, utf8_block
+from .common import lean, lean_group, slices, tasks, utf8_block
 from .words import split_words
 
 #: Bytes of text in a block: what one task holds the positions of at once. A longer text is a block of its own.
@@ -316,7 +316,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     dealt = kept.mapInArrow(lean(split), schema).repartition("_key")
     by_word = dealt.sortWithinPartitions("_key").mapInArrow(lean(encoded), "_key long, _digest long, _codes binary, _sizes binary, _data binary")
-    return dealt.groupBy("_key").cogroup(by_word.groupBy("_key")).applyInArrow(together, out)
+    return dealt.groupBy("_key").cogroup(by_word.groupBy("_key")).applyInArrow(lean_group(together), out)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", to: str = "decoded") -> DataFrame:

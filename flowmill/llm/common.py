@@ -18,17 +18,35 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the machine: idle workers count in an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(step):
-    """A function of batches whose worker gives back what it has freed when it ends: idle workers count in an executor's memory."""
+    """A function of batches whose worker gives back what it has freed when it ends."""
 
     @wraps(step)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from step(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
+
+    return run
+
+
+def lean_group(step):
+    """A function of two groups' tables whose worker gives back what it has freed after each."""
+
+    @wraps(step)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return step(left, right)
+        finally:
+            give_back()
 
     return run
 
