@@ -1,4 +1,5 @@
 import sys
+from hashlib import md5
 
 import pytest
 from pyspark import cloudpickle
@@ -160,3 +161,10 @@ def test_places_of_null_keys_and_labels(spark):
     assert out.columns == [*rows.columns, "fold"] and sorted((r["uid"] or "", r["fold"]) for r in out.collect()) == [("", 0), ("", 1), ("u", 0)]
     order = [r["uid"] for r in splits.shuffled(rows.dropna(), seed=1).collect()]
     assert order == ["u"] and splits.folds(rows.limit(0)).count() == 0
+
+
+def test_shuffled_rows_stand_by_digest(spark):
+    rows = spark.createDataFrame([(f"u{i}", i) for i in range(300)], "uid string, n int")
+    by_digest = lambda seed: sorted((f"u{i}" for i in range(300)), key=lambda u: md5(f"{u}/{seed}".encode()).hexdigest())
+    orders = {seed: [r["uid"] for r in splits.shuffled(rows.repartition(parts), seed=seed).collect()] for seed, parts in ((1, 2), (2, 7))}
+    assert all(orders[seed] == by_digest(seed) for seed in orders) and orders[1] != orders[2]
