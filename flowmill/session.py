@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Where stored has written tables that are still there, in order.
-_tables: list[str] = []
+#: Of each thread: where stored has written tables that are still there, in order. So no thread releases another's.
+_own = threading.local()
 #: A batch between the JVM and Python; both sides hold some.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
@@ -43,6 +44,13 @@ def until_exit(spark: SparkSession, path: str) -> None:
     store.deleteOnExit(place)
 
 
+def tables() -> list[str]:
+    """The tables that this thread has stored and that are still there."""
+    if not hasattr(_own, "tables"):
+        _own.tables = []
+    return _own.tables
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs no work.
 
@@ -52,32 +60,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     until_exit(spark, path)
-    _tables.append(path)
+    tables().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
     """A point in time for release."""
-    return len(_tables)
+    return len(tables())
 
 
 def release(since: int, *used: DataFrame) -> None:
     """Delete the tables that stored has written since a mark, but for those that used still reads."""
     needed = {f.rsplit("/", 2)[1] for df in used for f in df.inputFiles()}
-    for path in _tables[since:]:
+    for path in tables()[since:]:
         if path.rsplit("/", 1)[1] not in needed:
             store, place = place_of(used[0].sparkSession, path)
             store.delete(place, True)
-            _tables.remove(path)
+            tables().remove(path)
 
 
 def discard(table: DataFrame) -> None:
     """Delete a table that stored gave, when nothing will read it any more."""
     names = {f.rsplit("/", 2)[1] for f in table.inputFiles()}
-    for path in [p for p in _tables if p.rsplit("/", 1)[1] in names]:
+    for path in [p for p in tables() if p.rsplit("/", 1)[1] in names]:
         store, place = place_of(table.sparkSession, path)
         store.delete(place, True)
-        _tables.remove(path)
+        tables().remove(path)
 
 
 def ship(spark: SparkSession) -> None:
