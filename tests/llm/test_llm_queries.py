@@ -210,5 +210,5 @@ def test_tables_go_when_their_readers_have_run(spark, sf_dir):
 
     before = session.mark()
     out = corpus_pipeline.run(spark, sf_dir)
-    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._tables[before:]]
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session.tables()[before:]]
     assert left == ["stage-3"] and out.count() > 0
