@@ -59,3 +59,16 @@ def test_entropies_agree(spark, texts):
         assert r["a"] == (None if expected is None else pytest.approx(expected, abs=1e-9))
         assert r["b"] == (None if expected is None else pytest.approx(expected, abs=1e-9))
         assert expected is None or -1e-9 <= r["a"] <= math.log2(len(r["x"])) + 1e-9
+
+
+@pytest.mark.parametrize("value, digits, expected", [(0.559375, 5, 0.55937), (0.129875, 5, 0.12987), (2.5, 0, 3.0), (-2.5, 0, -3.0), (3.5, 0, 4.0), (-0.0, 3, 0.0), (1e17, 5, 1e17), (None, 5, None)])
+def test_rounding_in_doubles(spark, value, digits, expected):
+    """The first two lie below their half as doubles scale, and a decimal of their digits would go up."""
+    assert one(spark, lambda x: c.rounded_half_up(x, digits), value, "double") == expected
+
+
+def test_entropy_looks_at_each_text_once_per_character(spark):
+    """No sorted list of characters, and code points beyond 16 bits are one."""
+    df = spark.createDataFrame([("a\U0001f600b\U0001f600\n",)], "x string").select(c.entropy(F.col("x")).alias("y"))
+    assert abs(df.first()["y"] - 1.9219280948873623) < 1e-12
+    assert "sort_array" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -168,3 +168,8 @@ def test_shuffled_rows_stand_by_digest(spark):
     by_digest = lambda seed: sorted((f"u{i}" for i in range(300)), key=lambda u: md5(f"{u}/{seed}".encode()).hexdigest())
     orders = {seed: [r["uid"] for r in splits.shuffled(rows.repartition(parts), seed=seed).collect()] for seed, parts in ((1, 2), (2, 7))}
     assert all(orders[seed] == by_digest(seed) for seed in orders) and orders[1] != orders[2]
+
+
+def test_top_rows_tie_as_they_are_shown(spark):
+    rows = spark.createDataFrame([("b", 0.99999991), ("a", 0.99999990), ("c", 0.5), ("d", None)], "name string, v double")
+    assert [tuple(r) for r in ev.top(rows, "v", 3).collect()] == [("a", 1.0), ("b", 1.0), ("c", 0.5)]
