@@ -135,3 +135,11 @@ def test_late_rows_are_counted_and_kept_aside(spark, tmp_path):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     spark.streams.removeListener(listener)
     assert listener.dropped("unique") == late.dropped_by(query) == len(dropped) and listener.dropped("other") == 0
+
+
+def test_windows_are_copied_only_to_parts_with_flows(spark):
+    rows = [(f"u{i}", f"s{i % 30}", "h", i % 3, 97 * i) for i in range(300)]
+    table = spark.createDataFrame(rows, "uid string, id_orig_h string, id_resp_h string, id_resp_p int, s long").withColumn("event_time", F.timestamp_seconds("s"))
+    copies = flows._latest_windows(table, "10 minutes", "5 minutes", "event_time").count()
+    assert copies <= len(rows) < flows.window_concurrency(table).count()
+    assert flows.flow_concurrency(table).count() == len(rows)
