@@ -69,3 +69,10 @@ def test_grid_search_query(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(model_queries, "GRID", ({"numTrees": 2, "maxDepth": 1}, {"numTrees": 2, "maxDepth": 3}))
     rows = QUERIES["forest_grid_search"](spark, sf_dir).collect()
     assert len(rows) == 8 and len({r["candidate"] for r in rows if r["is_best"]}) == 1
+
+
+def test_sampled_flows_are_chosen_before_the_joins(spark, sf_dir):
+    rows, names = model_queries.table(spark, sf_dir)
+    some, found = model_queries.sampled_table(spark, sf_dir, 50)
+    want = sorted_rows(rows.columns, model_queries.splits.subsample(rows, 50).collect())
+    assert names == found and len(want) == 50 and sorted_rows(some.columns, some.collect()) == want
