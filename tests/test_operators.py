@@ -173,3 +173,14 @@ def test_shuffled_rows_stand_by_digest(spark):
 def test_top_rows_tie_as_they_are_shown(spark):
     rows = spark.createDataFrame([("b", 0.99999991), ("a", 0.99999990), ("c", 0.5), ("d", None)], "name string, v double")
     assert [tuple(r) for r in ev.top(rows, "v", 3).collect()] == [("a", 1.0), ("b", 1.0), ("c", 0.5)]
+
+
+def test_a_forest_of_packed_rows_is_the_same(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i}", "abc"[i * i % 3] if i % 9 else None, float(i % 5), float(i % 7)) for i in range(90)], "uid string, class string, f double, g double").coalesce(1)
+    packed = models.packed(rows, ["f", "g"], str(tmp_path / "packed"))
+    assert packed.columns == ["uid", "class", "vector"] and packed.count() == 90
+    plain, other = (models.train(table, ["f", "g"], numTrees=3, maxDepth=3) for table in (rows, packed))
+    assert len(other.stages) == 2 and models.labels_of(plain) == models.labels_of(other)
+    assert plain.stages[-1].toDebugString.split("\n")[1:] == other.stages[-1].toDebugString.split("\n")[1:]
+    found = [{tuple(r) for r in models.score(table, model).select("uid", "prediction", "confidence", "is_confident").collect()} for table, model in ((rows, plain), (packed, other))]
+    assert found[0] == found[1] and len(found[0]) == 90

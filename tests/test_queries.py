@@ -76,3 +76,11 @@ def test_sampled_flows_are_chosen_before_the_joins(spark, sf_dir):
     some, found = model_queries.sampled_table(spark, sf_dir, 50)
     want = sorted_rows(rows.columns, model_queries.splits.subsample(rows, 50).collect())
     assert names == found and len(want) == 50 and sorted_rows(some.columns, some.collect()) == want
+
+
+def test_fits_read_one_stored_vector_in_batches(spark, sf_dir):
+    rows, names = model_queries.table(spark, sf_dir)
+    packed, found = model_queries.packed_table(spark, sf_dir)
+    assert names == found and packed.columns == ["uid", "class", "vector"]
+    assert "Batched: true" in packed._jdf.queryExecution().executedPlan().toString()
+    assert {(r[0], r[1], tuple(r[2].toArray())) for r in packed.collect()} == {(r[0], r[1], tuple(r[2:])) for r in rows.collect()}
