@@ -84,3 +84,14 @@ def test_fits_read_one_stored_vector_in_batches(spark, sf_dir):
     assert names == found and packed.columns == ["uid", "class", "vector"]
     assert "Batched: true" in packed._jdf.queryExecution().executedPlan().toString()
     assert {(r[0], r[1], tuple(r[2].toArray())) for r in packed.collect()} == {(r[0], r[1], tuple(r[2:])) for r in rows.collect()}
+
+
+def test_folds_dealt_before_the_joins_are_those_of_the_features(spark, sf_dir):
+    found, _ = model_queries.packed_folds(spark, sf_dir, 5)
+    conn = model_queries.view(spark, sf_dir, "conn")
+    want = {(r["uid"], r["class"], r["fold"]) for r in model_queries.splits.folds(conn.select("uid", "class")).collect()}
+    rows = found.collect()
+    assert len(rows) == conn.count() and {(r["uid"], r["class"], r["fold"]) for r in rows} == want
+    dealt, labels = model_queries.models.dealt_rows(found, ["unused"])
+    assert sorted(labels) == labels and dealt.groupBy("fold").count().count() == 5 and dealt.count() == len(rows)
+    assert "packed" in dealt.inputFiles()[0]
